@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .base import bounded_batches
-from .tokens import Pieces
+from .tokens import pieces as encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -78,7 +78,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches):
-        pieces, at = Pieces(path), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        pieces, at = encoder(path), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         held: list[tuple[int | None, bytes]] = []
         size = 0
 

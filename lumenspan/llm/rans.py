@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import bounded_batches, new_folder, release_shuffles, staged
-from .tokens import Pieces
+from .tokens import pieces as encoder
 
 MAGIC = b"TOKRANS1"
 LANES, BLOCK, CHECK = 1024, 1 << 18, 1 << 17
@@ -182,7 +182,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     end = np.array([end_id], "<u2").tobytes()
 
     def tokenize(batches):
-        pieces = Pieces(path)
+        pieces = encoder(path)
         for batch in batches:
             doc, texts = batch.column(0), batch.column(1).to_pylist()
             for i in range(0, len(texts), 200):

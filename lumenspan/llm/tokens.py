@@ -1,4 +1,4 @@
-"""Token ids of whole texts by a tokenizers file, with a bounded memo of pieces."""
+"""Token ids of whole texts by a tokenizers file, with a bounded memo of words."""
 
 from __future__ import annotations
 
@@ -9,34 +9,93 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+_KEPT: dict[str, Pieces] = {}
+
+
+def pieces(path: str) -> Pieces:
+    """The encoder of a tokenizers file; a Python worker keeps it, with its memo, for its next tasks."""
+    if path not in _KEPT:
+        _KEPT[path] = Pieces(path)
+    return _KEPT[path]
+
 
 class Pieces:
     """Encodes texts as little-endian unsigned 16-bit ids.
 
-    A text is cut before a blank or a line feed that stands alone between two other characters.
-    The tokenizers' own pre-tokenizers always cut there, so the ids of the pieces, one after the other,
-    are the ids of the text. Pieces recur, so each is encoded once while it is in the memo of at most ``memo`` pieces.
+    A pre-tokenizer of either kind here always cuts before a blank or a line feed that stands alone between two other
+    characters, and between a letter and a full stop or comma. So the ids of the words, one after the other, are
+    the ids of the text. Words recur: each is encoded once while it is in the memo of at most ``most`` words, and new
+    ones are handed to the tokenizer many at a time, told apart by their first token (where tokens keep the blank) or by
+    a mark between them (where blanks are dropped). Texts with other white space are cut by a pattern instead.
     """
 
     CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+    MARK = "\x01"
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        self.memo, self.most = {"": b""}, memo
+        self.memo: dict[str, bytes] = {}
+        self.most = most
+        self.keeps_blank = self._ids(["a b"])[0] != self._ids(["a\nb"])[0]
+        self.first = np.zeros(1 << 16, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.first[i] = token[:1] in "ĠĊ"
+        self.mark = np.frombuffer(self._ids([self.MARK])[0], "<u2")
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words that each start with a blank or a line feed and have no other white space."""
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        out: list[bytes] = []
+        texts = ["".join(g) if self.keeps_blank else f" {self.MARK} ".join(g) + f" {self.MARK} " for g in groups]
+        for group, raw in zip(groups, self._ids(texts), strict=True):
+            ids = np.frombuffer(raw, "<u2")
+            if self.keeps_blank:
+                at = np.append(np.flatnonzero(self.first[ids]), len(ids)) * 2
+                at = at.tolist()
+                parts = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            else:
+                at = (np.flatnonzero(ids == self.mark[0]) * 2).tolist() if len(self.mark) == 1 else []
+                parts = [raw[a:b] for a, b in zip([0] + [x + 2 for x in at[:-1]], at, strict=True)] if at else []
+            out += parts if len(parts) == len(group) else self._ids(group)
+        return out
+
+    def _learn(self, new: set[str]) -> None:
+        """Add words to the memo. A word is kept without its blank; one that begins a text has a NUL before it."""
+        ends: dict[str, str] = {}
+        for w in new:
+            if w[-1:] in (".", ",") and w[-2:-1].isalpha():
+                ends[w] = w[:-1]
+        stems = [w for w in new.difference(ends).union(ends.values()).difference(self.memo) if w]
+        odd = [w for w in stems if w[0] == "\0" or "<|" in w]
+        plain = list(set(stems).difference(odd))
+        self.memo.update(zip(plain, self._together([w if w[0] == "\n" else f" {w}" for w in plain]), strict=True))
+        self.memo.update(zip(odd, self._ids([w[1:] if w[0] == "\0" else w if w[0] == "\n" else f" {w}" for w in odd]), strict=True))
+        stop = dict(zip(".,", self._ids([".", ","]), strict=True))
+        for w, stem in ends.items():
+            self.memo[w] = self.memo[stem] + stop[w[-1]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null has none."""
-        cut = [self.CUT.split(x) if x else () for x in texts]
-        new = list(set().union(*cut).difference(self.memo)) if cut else []
+        cut: list[list[str] | None] = []
+        for x in texts:
+            if not x:
+                cut.append([])
+            elif " ".join(x.split()) == x.replace("\n", " ") and self.MARK not in x and "\0" not in x:
+                cut.append(("\0" + x).replace("\n", " \n").split(" "))
+            else:
+                cut.append(None)
+        words = set().union(*(c for c in cut if c))
+        new = words.difference(self.memo)
         if len(self.memo) + len(new) > self.most:
-            self.memo, new = {"": b""}, list(set().union(*cut))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for piece, x in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.memo[piece] = np.array(x.ids, "<u2").tobytes()
+            self.memo, new = {}, words
+        if new:
+            self._learn(new)
         get = self.memo.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        return [b"".join(map(get, c)) if c is not None else b"".join(self._ids(self.CUT.split(x))) for c, x in zip(cut, texts, strict=True)]
