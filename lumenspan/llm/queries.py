@@ -9,13 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, rans
+from . import mixing, packing, rans
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.schedule(documents(spark, sf_dir))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+OP1_SQL = mixing.SCHEDULE_SQL + """
+SELECT c.doc_id, size, source_size, target, size * (copies + CASE WHEN k = 1 THEN 1 ELSE 0 END) AS taken
+FROM counted c LEFT JOIN (SELECT * FROM ranked WHERE k = 1) USING (doc_id)
+"""
+
+
 def _digest(batches):
     for batch in batches:
         ids = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
@@ -34,8 +45,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_files, op5_packing)}
+    return {f.__name__: f for f in (op1_mixing, op4_token_files, op5_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": OP1_SQL}
