@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from itertools import islice
 
 import numpy as np
 
@@ -26,16 +28,27 @@ class Pieces:
     characters, and between a letter and a full stop or comma. So the ids of the words, one after the other, are
     the ids of the text. Words recur: each is encoded once while it is in the memo of at most ``most`` words, and new
     ones are handed to the tokenizer many at a time, told apart by their first token (where tokens keep the blank) or by
-    a mark between them (where blanks are dropped). Texts with other white space are cut by a pattern instead.
+    a mark between them (where blanks are dropped). Texts with other white space are cut by a pattern instead. A full
+    memo keeps its older half: words that were met first are the frequent ones.
+
+    Where a tokenizer only composes, folds white space and lowers, that is done by Python for texts of Latin-1, in
+    which it is the same, and the words go to a copy without these steps.
     """
 
     CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
     MARK = "\x01"
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers.normalizers import Sequence
+
+        self.tokenizer = self.bare = Tokenizer.from_file(path)
+        steps = json.loads(self.tokenizer.to_str())["normalizer"] or {}
+        kinds = {x["type"] for x in steps.get("normalizers", [steps] if steps else [])}
+        self.lowers = "Lowercase" in kinds and kinds <= {"NFC", "Replace", "Lowercase"}
+        if self.lowers:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = Sequence([])
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         self.memo: dict[str, bytes] = {}
@@ -46,15 +59,16 @@ class Pieces:
             self.first[i] = token[:1] in "ĠĊ"
         self.mark = np.frombuffer(self._ids([self.MARK])[0], "<u2")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], bare: bool = False) -> list[bytes]:
+        encode = (self.bare if bare else self.tokenizer).encode_batch_fast
+        return [np.array(x.ids, "<u2").tobytes() for x in encode(texts, add_special_tokens=False)]
 
     def _together(self, words: list[str]) -> list[bytes]:
         """Ids of words that each start with a blank or a line feed and have no other white space."""
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         out: list[bytes] = []
         texts = ["".join(g) if self.keeps_blank else f" {self.MARK} ".join(g) + f" {self.MARK} " for g in groups]
-        for group, raw in zip(groups, self._ids(texts), strict=True):
+        for group, raw in zip(groups, self._ids(texts, True), strict=True):
             ids = np.frombuffer(raw, "<u2")
             if self.keeps_blank:
                 at = np.append(np.flatnonzero(self.first[ids]), len(ids)) * 2
@@ -87,15 +101,32 @@ class Pieces:
         for x in texts:
             if not x:
                 cut.append([])
-            elif " ".join(x.split()) == x.replace("\n", " ") and self.MARK not in x and "\0" not in x:
-                cut.append(("\0" + x).replace("\n", " \n").split(" "))
+                continue
+            t = x.replace("\n", " \n")
+            # only blanks and line feeds as white space, each alone and between other characters; no control characters
+            if x.replace("\n", "").isprintable() and "  " not in t and "\n " not in t and t[0] != " " and t[-1] not in " \n" and (not self.lowers or latin(x)):
+                cut.append(("\0" + (t.lower() if self.lowers else t)).split(" "))
             else:
                 cut.append(None)
-        words = set().union(*(c for c in cut if c))
-        new = words.difference(self.memo)
+        found = [list(map(self.memo.get, c)) if c else [] for c in cut]
+        gaps = [[i for i, v in enumerate(f) if v is None] for f in found]
+        new = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
         if len(self.memo) + len(new) > self.most:
-            self.memo, new = {}, words
+            self.memo = dict(islice(self.memo.items(), self.most // 2))
         if new:
             self._learn(new)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, c)) if c is not None else b"".join(self._ids(self.CUT.split(x))) for c, x in zip(cut, texts, strict=True)]
+        out = []
+        for c, f, g, x in zip(cut, found, gaps, texts, strict=True):
+            for i in g:
+                f[i] = self.memo[c[i]]
+            out.append(b"".join(f) if c is not None else b"".join(self._ids(self.CUT.split(x))))
+        return out
+
+
+def latin(text: str) -> bool:
+    """Whether the text is all Latin-1."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
