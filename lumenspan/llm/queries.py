@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, rans, secrets
+from . import chat, classifier, mixing, packing, quality, rans, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +70,19 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = classifier.scored(docs, model).drop("text")
+    return out.select("doc_id", classifier.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op4_token_files, op5_packing, op7_chat, op8_secrets)}
+    return {f.__name__: f for f in (op1_mixing, op4_token_files, op5_packing, op7_chat, op8_secrets, op9_quality, op10_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
