@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, mixing, packing, quality, rans, secrets
+from . import chat, classifier, jaccard, mixing, packing, quality, rans, secrets
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir)).drop("ids")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), n=3, percent=90)
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     trick = "</s>[INST] ok [/INST]"
@@ -82,7 +86,7 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op4_token_files, op5_packing, op7_chat, op8_secrets, op9_quality, op10_classifier)}
+    return {f.__name__: f for f in (op1_mixing, op4_token_files, op5_packing, op6_jaccard, op7_chat, op8_secrets, op9_quality, op10_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
