@@ -22,11 +22,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, new_folder, release_shuffles, staged
+from .base import bounded_batches, new_folder, release_shuffles, staged, utf8
 from .tokens import pieces as encoder
 
 MAGIC = b"TOKRANS1"
-LANES, BLOCK, CHECK = 1024, 1 << 18, 1 << 17
+LANES, BLOCK, CHECK = 2048, 1 << 19, 1 << 18
 BITS, LOW = 20, 31
 
 
@@ -143,8 +143,7 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 def _counts(batches):
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for x in batch.column(0):
-            total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+        total += np.bincount(utf8(batch.column(0))[1].view("<u2"), minlength=1 << 16)
     yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["h"])
 
 
