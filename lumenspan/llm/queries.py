@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, jaccard, mixing, packing, quality, rans, secrets
+from . import chat, classifier, jaccard, mixing, packing, quality, rans, secrets, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ FROM counted c LEFT JOIN (SELECT * FROM ranked WHERE k = 1) USING (doc_id)
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(documents(spark, sf_dir)).drop("removed")
+
+
 def _digest(batches):
     for batch in batches:
         ids = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
@@ -86,7 +90,7 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op4_token_files, op5_packing, op6_jaccard, op7_chat, op8_secrets, op9_quality, op10_classifier)}
+    return {f.__name__: f for f in (op1_mixing, op3_suffix_dedup, op4_token_files, op5_packing, op6_jaccard, op7_chat, op8_secrets, op9_quality, op10_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
