@@ -308,7 +308,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     total = own.groupBy("block").agg(F.ceil(F.sum(8 * F.col("n_shingles") + 64) / SLICE_BYTES).alias("slices"))
     own = staged(own.join(total, "block").withColumn("slice", F.pmod(F.xxhash64("set_id"), "slices").cast("int")), "members")
     rep = own.select("set_id", "block", "slices", "slice", F.col("rep").alias("doc_id"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(rep, "doc_id").select("set_id", "block", "slices", "slice", "text")
+    # a sort-merge join at every size: the side without texts grows with the documents, too
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(rep.hint("merge"), "doc_id").select("set_id", "block", "slices", "slice", "text")
 
     def sets(batches):
         for batch in batches:
@@ -349,6 +350,6 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` of one document of each group of near duplicates: the one with the smallest doc_id, first by text among equal ids. Rows without a doc_id stay."""
     names = docs.columns
     groups = near_duplicates(docs, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(groups, F.col("doc_id") == F.col("__kept"), "left").where("__kept IS NOT NULL OR doc_id IS NULL")
+    kept = docs.join(groups.hint("merge"), F.col("doc_id") == F.col("__kept"), "left").where("__kept IS NOT NULL OR doc_id IS NULL")
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     return kept.withColumn("__turn", turn).where("__turn = 1 OR doc_id IS NULL").select(*names)

@@ -99,7 +99,7 @@ def mix(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[int,
     plan = schedule(docs, share, most, weights, seed).groupBy("doc_id", "tkey").agg(F.sum("copies").alias("c"), F.min("finish").alias("finish"), F.count(F.lit(1)).alias("m")).where("c > 0")
     plan = plan.select(F.col("doc_id").alias("__d"), F.col("tkey").alias("__t"), F.struct("c", "finish", "m").alias("__p"))
     rows = docs.withColumn("__k", F.xxhash64("text"))
-    rows = rows.join(plan, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__t")))
+    rows = rows.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__t")))
     turn = F.when(F.col("__p.m") > 1, F.row_number().over(Window.partitionBy("__d", "__t").orderBy("__d"))).otherwise(1)
     rows = rows.withColumn("__n", F.floor(F.col("__p.c") / F.col("__p.m")) + (turn <= F.col("__p.c") % F.col("__p.m")).cast("long"))
     rows = rows.where("__n > 0").withColumn("__e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
