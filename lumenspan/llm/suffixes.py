@@ -397,7 +397,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     release_shuffles(spark)
     # whole texts that have shared grams, one of each group of equal ones
     wanted = copies.join(grams, "tid").select(F.col("rep").alias("doc_id"), F.col("sha").alias("want"), "tid", "copies", "grams")
-    found = docs.select(F.col("doc_id").cast("long"), text.alias("text")).join(wanted, "doc_id").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("want"))
+    found = docs.select(F.col("doc_id").cast("long"), text.alias("text")).join(wanted.hint("merge"), "doc_id").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("want"))
     texts = staged(found.select("tid", "text", "copies", "grams"), "texts")
     release_shuffles(spark)
     chosen = texts.agg(F.sum(F.aggregate("grams", F.lit(0).cast("long"), lambda a, g: a + F.octet_length(g)))).first()[0] or 0
@@ -420,7 +420,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 place = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(place)), strict=True)], names=["tid", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    changed = texts.where("copies = 1").select("tid", "text").join(spans, "tid").mapInArrow(cut, "tid long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<begin: long, end: long>>")
+    changed = texts.where("copies = 1").select("tid", "text").join(spans.hint("merge"), "tid").mapInArrow(cut, "tid long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<begin: long, end: long>>")
     each = staged(copies.join(changed, "tid", "left").select(F.col("sha").alias("own"), "copies", "n_removed", "n_spans", "kept_sha256", "removed"), "changed")
     out = base.join(each, F.col("sha") == F.col("own"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= SPAN)
