@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,10 +23,10 @@ def coded(table: DataFrame, id_column: str, vector: str, words: int) -> DataFram
     return table.where(F.col(id_column).isNotNull() & F.col(vector).isNotNull()).select(*out)
 
 
-def _masks(spark: SparkSession, radius: int) -> DataFrame:
-    """The 16-bit values with ``radius`` bits set: at most 12,870, whatever the data."""
-    values = [sum(1 << b for b in c) for c in combinations(range(SEGMENT), radius)]
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, values)) if len(values) < 200 else F.filter(F.sequence(F.lit(0), F.lit((1 << SEGMENT) - 1)), lambda x: F.bit_count(x) == radius)).alias("mask"))
+def _masks(spark: SparkSession, radius: int, parts: int) -> DataFrame:
+    """For each segment the 16-bit values with ``radius`` bits set: at most 12,870 each, whatever the data."""
+    values = spark.range(1 << SEGMENT).select(F.col("id").cast("int").alias("mask")).where(F.bit_count("mask") == radius)
+    return values.select("mask", F.explode(F.array(*map(F.lit, range(parts)))).alias("segment"))
 
 
 def _segments(words: int) -> list[Column]:
@@ -64,7 +63,7 @@ def top_k(table: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "v
     closed: list[DataFrame] = []
     for radius in range(SEGMENT + 1):
         probes = open_.select("query_id", "most", *(F.col(n).alias(f"q_{n}") for n in names), F.posexplode(F.array(*_segments(words))).alias("segment", "own"))
-        probes = probes.join(F.broadcast(_masks(spark, radius))).withColumn("value", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
+        probes = probes.join(F.broadcast(_masks(spark, radius, parts)), "segment").withColumn("value", F.col("own").bitwiseXOR(F.col("mask"))).drop("own", "mask")
         distance = reduce(lambda a, b: a + b, (F.bit_count(F.col(n).bitwiseXOR(F.col(f"q_{n}"))) for n in names))
         p, i = probes.alias("p"), index.alias("i")
         met = p.join(i, (F.col("p.segment") == F.col("i.segment")) & (F.col("p.value") == F.col("i.value")) & (distance <= F.col("most")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, jaccard, mixing, packing, quality, rans, secrets, suffixes
+from . import chat, classifier, hamming, jaccard, mixing, packing, quality, rans, secrets, suffixes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,21 @@ FROM counted c LEFT JOIN (SELECT * FROM ranked WHERE k = 1) USING (doc_id)
 """
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return hamming.top_k(table, table.where("vec_id % 100 = 0"), k=10)
+
+
+OP2_SQL = """
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id,
+         CAST(len(list_filter(range(1, 65), lambda i: (q.embedding[i] > 0) <> (r.embedding[i] > 0))) AS INTEGER) AS distance
+  FROM embeddings q, embeddings r WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INTEGER) AS rank, neighbor_id, distance
+FROM pairs QUALIFY rank <= 10
+"""
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(documents(spark, sf_dir)).drop("removed")
 
@@ -52,6 +67,27 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir), n=3, percent=90)
 
 
+OP6_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words),
+sized AS (SELECT doc_id, s, len(s) AS n FROM sets),
+grams AS (SELECT doc_id, n, unnest(s) AS g FROM sized),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY ALL),
+links AS (SELECT x, y FROM shared WHERE 100 * c >= 90 * (nx + ny - c)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+SELECT s.doc_id, CAST(n AS BIGINT) AS n_shingles, r.component_id
+FROM sized s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) r ON s.doc_id = r.x
+"""
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     trick = "</s>[INST] ok [/INST]"
@@ -90,8 +126,8 @@ def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mixing, op3_suffix_dedup, op4_token_files, op5_packing, op6_jaccard, op7_chat, op8_secrets, op9_quality, op10_classifier)}
+    return {f.__name__: f for f in (op1_mixing, op2_topk, op3_suffix_dedup, op4_token_files, op5_packing, op6_jaccard, op7_chat, op8_secrets, op9_quality, op10_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_topk": OP2_SQL, "op6_jaccard": OP6_SQL}
