@@ -43,17 +43,19 @@ def forms(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.n
 def learned_vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Random indexing: a form's vector is its index vector plus the mean index vector of the words up to two places away."""
     index = index_vectors()
-    rows, at = forms(data, offsets)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(at))
     total, count = np.zeros((BUCKETS, DIM)), np.zeros(BUCKETS)
-    for gap in (1, 2):
-        near = np.flatnonzero(doc[:-gap] == doc[gap:]) if len(doc) > gap else np.zeros(0, np.int64)
-        for own, other in ((near, near + gap), (near + gap, near)):
-            beside = index[rows[0][other]]
-            for form in rows:
-                count += np.bincount(form[own], minlength=BUCKETS)
-                for d in range(DIM):
-                    total[:, d] += np.bincount(form[own], beside[:, d], BUCKETS)
+    for first, last in steps(offsets):
+        part = offsets[first : last + 1]
+        rows, at = forms(data[part[0] : part[-1]], part - part[0])
+        doc = np.repeat(np.arange(last - first), np.diff(at))
+        for gap in (1, 2):
+            near = np.flatnonzero(doc[:-gap] == doc[gap:]) if len(doc) > gap else np.zeros(0, np.int64)
+            for own, other in ((near, near + gap), (near + gap, near)):
+                beside = index[rows[0][other]]
+                for form in rows:
+                    count += np.bincount(form[own], minlength=BUCKETS)
+                    for d in range(DIM):
+                        total[:, d] += np.bincount(form[own], beside[:, d], BUCKETS)
     return (index + total / np.maximum(count, 1)[:, None]).astype(np.float32)
 
 
