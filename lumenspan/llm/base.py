@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -64,6 +65,19 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def cleared() -> None:
+    """Called at the start of a task that runs Python: a worker is used again, and what other operators kept in it goes."""
+    from . import tokens
+
+    tokens.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n + 1) and bytes of a string or binary array without copying; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, mixed, powers, prefix_hash, steps, utf8, word_spans
+from .base import bounded_batches, cleared, mixed, powers, prefix_hash, steps, utf8, word_spans
 
 #: Rows of the vector table (forms of words share them by hash) and length of a vector.
 BUCKETS, DIM = 1 << 15, 32
@@ -171,6 +171,7 @@ def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     names = docs.columns
 
     def run(batches):
+        cleared()
         m = shipped.value
         for batch in batches:
             offsets, data = utf8(batch.column(names.index("text")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, mixed, release_shuffles, remove, shingle_hashes, staged, steps, utf8, word_hashes
+from .base import bounded_batches, cleared, mixed, release_shuffles, remove, shingle_hashes, staged, steps, utf8, word_hashes
 from .components import Forest, components, spanning
 
 #: Hashes of parts that a task of step 2 takes, bytes of sets in a slice of a block, and documents in a tree's leaf.
@@ -106,6 +106,7 @@ def candidate_links(docs: DataFrame, n: int, percent: int, buckets: int) -> Data
     """u, v: links between set hashes whose components hold every pair that reaches the threshold."""
 
     def emit(batches):
+        cleared()
         seen: set[int] = set()
         held: list[tuple[np.ndarray, int, int]] = []
         size = 0
@@ -278,6 +279,7 @@ def classes_of(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, set_id of each document."""
 
     def run(batches):
+        cleared()
         for batch in batches:
             sets = list(sets_of(batch.column(1), n))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
@@ -312,6 +314,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(rep.hint("merge"), "doc_id").select("set_id", "block", "slices", "slice", "text")
 
     def sets(batches):
+        cleared()
         for batch in batches:
             rows = [(i, s) for i, s in enumerate(sets_of(batch.column(4), n))]
             mine = batch.column(0).to_pylist()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, mixed, powers, prefix_hash, staged, steps, utf8, word_spans
+from .base import bounded_batches, cleared, mixed, powers, prefix_hash, staged, steps, utf8, word_spans
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOL = np.zeros(256, np.int64)
@@ -90,6 +90,7 @@ def metrics(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        cleared()
         for batch in batches:
             offsets, data = utf8(batch.column(3))
             for a, b in steps(offsets):

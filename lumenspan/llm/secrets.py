@@ -8,7 +8,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .base import bounded_batches
+from .base import bounded_batches, cleared
 
 #: kind, pattern, least length of the whole match, least length of the value. In a pattern only literals, classes,
 #: groups, |, ?, *, + and {n,} are used. A match ends at its longest; those that fail a length are dropped.
@@ -325,6 +325,7 @@ def scan(docs: DataFrame) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def run(batches):
+        cleared()
         a = automaton()
         for batch in batches:
             starts, stops, kinds, at = [], [], [], [0]
@@ -350,6 +351,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     names, schema = docs.columns, docs.schema
 
     def run(batches):
+        cleared()
         a = automaton()
         for batch in batches:
             texts, counts = [], []

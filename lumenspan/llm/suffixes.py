@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, mixed, powers, prefix_hash, release_shuffles, staged, steps, utf8
+from .base import bounded_batches, cleared, mixed, powers, prefix_hash, release_shuffles, staged, steps, utf8
 
 #: Length of the strings that are removed, and of an anchor's gram.
 SPAN, K = 200, 64
@@ -255,6 +255,7 @@ def shared_grams(texts: DataFrame, buckets: int) -> DataFrame:
     """tid, grams: for each text (tid, text) the packed hashes of its anchors' grams that occur again, there or elsewhere."""
 
     def emit(batches):
+        cleared()
         held: list[np.ndarray] = []
         seen: set[int] = set()
         for batch in batches:
@@ -310,6 +311,7 @@ def repeated_intervals(texts: DataFrame, buckets: int) -> DataFrame:
     """tid, spans: packed (first, last) starts of repeated strings, from texts (tid, text, grams)."""
 
     def emit(batches):
+        cleared()
         held: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
 
         def flush():

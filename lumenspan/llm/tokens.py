@@ -21,6 +21,11 @@ def pieces(path: str) -> Pieces:
     return _KEPT[path]
 
 
+def forget() -> None:
+    """Give back the memos of this worker, for operators that need its memory for something else."""
+    _KEPT.clear()
+
+
 class Pieces:
     """Encodes texts as little-endian unsigned 16-bit ids.
 
@@ -38,7 +43,7 @@ class Pieces:
     CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
     MARK = "\x01"
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence
 
