@@ -184,9 +184,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         pieces = encoder(path)
         for batch in batches:
             doc, texts = batch.column(0), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 200):
-                ids = [x + end for x in pieces.encode(texts[i : i + 200])]
-                yield pa.RecordBatch.from_arrays([doc[i : i + 200], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for i in range(0, len(texts), 500):
+                ids = [x + end for x in pieces.encode(texts[i : i + 500])]
+                yield pa.RecordBatch.from_arrays([doc[i : i + 500], pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     texts = docs.select("doc_id", "text")
     ranges = max(2, 2 * texts.rdd.getNumPartitions())

@@ -32,7 +32,7 @@ from .base import bounded_batches, cleared, mixed, powers, prefix_hash, release_
 SPAN, K = 200, 64
 STEP = 1 << 19
 #: Grams or bytes of suffixes that a task takes, and suffixes in a run.
-MEET, RANGE_BYTES, RUN = 2_000_000, 24 << 20, 40_000
+MEET, RANGE_BYTES, RUN = 2_000_000, 6 << 20, 40_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 

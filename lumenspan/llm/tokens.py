@@ -31,7 +31,7 @@ class Pieces:
 
     A pre-tokenizer of either kind here always cuts before a blank or a line feed that stands alone between two other
     characters, and between a letter and a full stop or comma. So the ids of the words, one after the other, are
-    the ids of the text. Words recur: each is encoded once while it is in the memo of at most ``most`` words, and new
+    the ids of the text. Words recur: one that has been met before is kept in a memo of at most ``most`` words, and new
     ones are handed to the tokenizer many at a time, told apart by their first token (where tokens keep the blank) or by
     a mark between them (where blanks are dropped). Texts with other white space are cut by a pattern instead. A full
     memo keeps its older half: words that were met first are the frequent ones.
@@ -63,6 +63,8 @@ class Pieces:
         for token, i in self.tokenizer.get_vocab().items():
             self.first[i] = token[:1] in "ĠĊ"
         self.mark = np.frombuffer(self._ids([self.MARK])[0], "<u2")
+        self.stop = dict(zip(".,", self._ids([".", ","]), strict=True))
+        self.met = bytearray(1 << 21)
 
     def _ids(self, texts: list[str], bare: bool = False) -> list[bytes]:
         encode = (self.bare if bare else self.tokenizer).encode_batch_fast
@@ -85,20 +87,37 @@ class Pieces:
             out += parts if len(parts) == len(group) else self._ids(group)
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Add words to the memo. A word is kept without its blank; one that begins a text has a NUL before it."""
-        ends: dict[str, str] = {}
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of words that the memo lacks. A word stands without its blank; one that begins a text has a NUL before it."""
+        ends, stems, odd = [], set(), []
         for w in new:
-            if w[-1:] in (".", ",") and w[-2:-1].isalpha():
-                ends[w] = w[:-1]
-        stems = [w for w in new.difference(ends).union(ends.values()).difference(self.memo) if w]
-        odd = [w for w in stems if w[0] == "\0" or "<|" in w]
-        plain = list(set(stems).difference(odd))
-        self.memo.update(zip(plain, self._together([w if w[0] == "\n" else f" {w}" for w in plain]), strict=True))
-        self.memo.update(zip(odd, self._ids([w[1:] if w[0] == "\0" else w if w[0] == "\n" else f" {w}" for w in odd]), strict=True))
-        stop = dict(zip(".,", self._ids([".", ","]), strict=True))
-        for w, stem in ends.items():
-            self.memo[w] = self.memo[stem] + stop[w[-1]]
+            if w[-1] in ".," and w[-2:-1].isalpha():
+                ends.append(w)
+                w = w[:-1]
+                if w in self.memo:
+                    continue
+            if w[0] == "\0" or "<|" in w:
+                odd.append(w)
+            else:
+                stems.add(w)
+        plain = list(stems)
+        out = dict(zip(plain, self._together([w if w[0] == "\n" else f" {w}" for w in plain]), strict=True))
+        out.update(zip(odd, self._ids([w[1:] if w[0] == "\0" else w if w[0] == "\n" else f" {w}" for w in odd]), strict=True))
+        for w in ends:
+            stem = w[:-1]
+            out[w] = (out.get(stem) or self.memo.get(stem, b"")) + self.stop[w[-1]]
+        return out
+
+    def _keep(self, learned: dict[str, bytes]) -> None:
+        """Take words into the memo that have been met before; the others, most of which never come again, only leave a mark."""
+        met = self.met
+        for w, ids in learned.items():
+            h = hash(w) & 0xFFFFFF
+            bit = 1 << (h & 7)
+            if met[h >> 3] & bit:
+                self.memo[w] = ids
+            else:
+                met[h >> 3] |= bit
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null has none."""
@@ -115,16 +134,15 @@ class Pieces:
                 cut.append(None)
         found = [list(map(self.memo.get, c)) if c else [] for c in cut]
         gaps = [[i for i, v in enumerate(f) if v is None] for f in found]
-        new = {c[i] for c, g in zip(cut, gaps, strict=True) for i in g}
-        if len(self.memo) + len(new) > self.most:
-            self.memo = dict(islice(self.memo.items(), self.most // 2))
-        if new:
-            self._learn(new)
+        learned = self._learn({c[i] for c, g in zip(cut, gaps, strict=True) for i in g})
         out = []
         for c, f, g, x in zip(cut, found, gaps, texts, strict=True):
             for i in g:
-                f[i] = self.memo[c[i]]
+                f[i] = learned[c[i]]
             out.append(b"".join(f) if c is not None else b"".join(self._ids(self.CUT.split(x))))
+        self._keep(learned)
+        if len(self.memo) > self.most:
+            self.memo = dict(islice(self.memo.items(), self.most // 2))
         return out
 
 
