@@ -46,9 +46,9 @@ def value_text(v: Column) -> Column:
 
 def attributes(a: Column) -> Column:
     """Attributes as a map; the last of equal keys stays, and none give an empty map."""
-    entries = F.transform(F.coalesce(a, F.array().cast(_ATTRIBUTES)), lambda e: F.struct(e["key"].alias("key"), value_text(e["value"]).alias("value")))
+    entries = F.transform(F.coalesce(a, F.array().cast(_ATTRIBUTES)), lambda e: F.named_struct(F.lit("key"), e["key"], F.lit("value"), value_text(e["value"])))
     keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    last = F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"].alias("value")))
+    last = F.transform(keys, lambda k: F.named_struct(F.lit("key"), k, F.lit("value"), F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
     return F.map_from_entries(last)
 
 
@@ -77,8 +77,8 @@ def spans(requests: DataFrame, column: str = "value") -> DataFrame:
         F.greatest(F.coalesce(end - start, F.lit(0)), F.lit(0)).alias("duration_ns"), _named(F.col("x.status.code"), STATUS_CODES).alias("status_code"),
         F.coalesce("x.status.message", F.lit("")).alias("status_message"), F.col("ra").alias("resource_attributes"), attributes(F.col("x.attributes")).alias("span_attributes"),
         F.lit(1.0).alias("sampling_weight"),
-        F.transform("x.events", lambda e: F.struct(e["timeUnixNano"].cast("long").alias("ts_ns"), e["name"].alias("name"), attributes(e["attributes"]).alias("attributes"))).alias("events"),
-        F.transform("x.links", lambda e: F.struct(_id(e["traceId"], 32).alias("trace_id"), _id(e["spanId"], 16).alias("span_id"), attributes(e["attributes"]).alias("attributes"))).alias("links"),
+        F.transform("x.events", lambda e: F.named_struct(F.lit("ts_ns"), e["timeUnixNano"].cast("long"), F.lit("name"), e["name"], F.lit("attributes"), attributes(e["attributes"]))).alias("events"),
+        F.transform("x.links", lambda e: F.named_struct(F.lit("trace_id"), _id(e["traceId"], 32), F.lit("span_id"), _id(e["spanId"], 16), F.lit("attributes"), attributes(e["attributes"]))).alias("links"),
     )
 
 
@@ -99,7 +99,12 @@ def metrics(requests: DataFrame, column: str = "value") -> DataFrame:
     r = requests.select(F.explode(F.from_json(column, METRICS)["resourceMetrics"]).alias("r")).select(attributes(F.col("r.resource.attributes")).alias("ra"), F.explode("r.scopeMetrics").alias("s"))
     r = r.select("ra", F.explode("s.metrics").alias("m"))
     kinds = dict(zip(("gauge", "sum", "histogram", "exponentialHistogram", "summary"), METRIC_TYPES[1:], strict=True))
-    points = [F.transform(F.coalesce(F.col(f"m.{k}.dataPoints"), F.array().cast(f"array<{_POINT}>")), lambda p, t=t: F.struct(F.lit(t).alias("t"), p.alias("p"))) for k, t in kinds.items()]
+
+    def tagged(kind: str, column: str) -> Column:
+        points = F.coalesce(F.col(f"m.{column}.dataPoints"), F.array().cast(f"array<{_POINT}>"))
+        return F.transform(points, lambda p: F.named_struct(F.lit("t"), F.lit(kind), F.lit("p"), p))
+
+    points = [tagged(t, k) for k, t in kinds.items()]
     r = r.select("ra", "m.name", F.explode(F.concat(*points)).alias("x")).select("ra", "name", "x.t", "x.p")
     number = F.coalesce(F.col("p.asDouble"), F.col("p.asInt").cast("double"), F.lit(0.0))
     pair = F.array(F.struct(F.concat("name", F.lit("_count")).alias("n"), F.coalesce(F.col("p.count").cast("double"), F.lit(0.0)).alias("v")), F.struct(F.concat("name", F.lit("_sum")).alias("n"), F.coalesce(F.col("p.sum"), F.lit(0.0)).alias("v")))
