@@ -2,8 +2,10 @@
 
 1. Each document's set is hashed; equal sets are one class from here on.
 2. Classes that can reach the threshold must agree on a whole part of their sets if the hash range is cut into more
-   parts than elements can differ. Hashes of the parts meet in packed form, dealt by their leading bits; classes that
-   agree on a part, and whose 64 one-bit minimum hashes are not too far apart, get a candidate link.
+   parts than elements can differ. Larger sets, which would need more parts than that, meet in bands of minimum hashes
+   instead, of which two at the threshold share none once in 10**12 times. These keys meet in packed form, dealt by their
+   leading bits; classes with a key in common whose 64 one-bit minimum hashes are not too far apart (seven deviations
+   from what is expected) get a candidate link.
 3. Connected candidates are a block. A task gets the sets of a block (or of two slices of a large one), builds a
    signature tree of each, and descends both trees together: a pair of nodes is left if its size ranges or its
    OR-combined bitmaps cannot reach the threshold, or if all below is connected already. Pairs of documents that
@@ -74,11 +76,19 @@ def levels(n: int, percent: int) -> list[tuple[int, int, int]]:
 
 
 def part_hashes(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of a set. Empty parts are left out, but for sets with more of them than are spare: two sets that agree on empty parts alone both have so many."""
-    out = []
+    """The keys under which a set meets others: hashes of its parts at levels of few parts, and of bands of minimum hashes for larger sets.
+
+    Empty parts are left out, but for sets with more of them than are spare: two sets that agree on empty parts alone
+    both have so many.
+    """
+    out, wide = [], False
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s ^ np.uint64(0xE7037ED1A0B428DB)))])
     top = (s >> np.uint64(32)).astype(np.uint64)
+    rows, bands = band_shape(percent)
     for level, parts, spare in levels(len(s), percent):
+        if parts > bands:
+            wide = True
+            continue
         part = (top * np.uint64(parts)) >> np.uint64(32)
         at = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
         own = sums[at[1:]] - sums[at[:-1]]
@@ -87,9 +97,29 @@ def part_hashes(s: np.ndarray, percent: int) -> np.ndarray:
             full[:] = True
         i = np.flatnonzero(full).astype(np.uint64)
         out.append(mixed(own[full] * np.uint64(0xD1342543DE82EF95) + i * np.uint64(1 << 20) + np.uint64(level)))
+    if wide:
+        c = _FACTORS[: rows * bands]
+        least = np.full(len(c), np.uint64(0xFFFFFFFFFFFFFFFF))
+        for i in range(0, len(s), 2048):
+            least = np.minimum(least, (s[None, i : i + 2048] * c[:, None]).min(1))
+        least = mixed(least).reshape(bands, rows) * _FACTORS[-rows:]
+        out.append(mixed(least.sum(1) + np.arange(bands, dtype=np.uint64)))
     return np.concatenate(out)
 
 
+#: Odd factors that permute 64-bit hashes.
+_FACTORS = np.random.Generator(np.random.PCG64(31)).integers(1, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_shape(percent: int) -> tuple[int, int]:
+    """Rows of a band and number of bands with which a pair at the threshold shares no band once in 10**12 times: 3 and 39 for 80 percent."""
+    t = percent / 100
+    if t >= 1:
+        return 1, 1
+    rows = max(1, int(math.log(0.5) / math.log(t)))
+    return rows, math.ceil(math.log(1e-12) / math.log(1 - t**rows))
+
+
 def tag_of(s: np.ndarray) -> int:
     """64 one-bit minimum hashes: the least element of each 64th of the range of a second hash."""
     h = np.sort(mixed(s * np.uint64(0x9FB21C651E98DF25)))
@@ -299,7 +329,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     bounded_batches(spark)
     classes = staged(classes_of(docs, n), "classes")
     share = 2 * (100 - percent) / (100 + percent)
-    size = classes.agg((F.sum("n_shingles") * 2 * share + 4 * F.count(F.lit(1))).cast("long")).first()[0] or 0
+    most = 2 * band_shape(percent)[1]
+    size = classes.agg(F.sum(F.least(F.col("n_shingles") * 2 * share + 4, F.lit(most))).cast("long")).first()[0] or 0
     buckets = max(2, -(-size // MEET))
     weak = components(candidate_links(docs, n, percent, buckets))
     blocks = staged(weak.select(F.col("node").alias("set_id"), F.col("root").alias("block")), "blocks")
