@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, new_folder, release_shuffles, staged, utf8
+from .base import bounded_batches, new_folder, release_shuffles, staged
 from .tokens import pieces as encoder
 
 MAGIC = b"TOKRANS1"
@@ -140,13 +140,6 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def _counts(batches):
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        total += np.bincount(utf8(batch.column(0))[1].view("<u2"), minlength=1 << 16)
-    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["h"])
-
-
 def _added(batches):
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
@@ -155,15 +148,13 @@ def _added(batches):
     yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["h"])
 
 
-def frequency_table(tokens: DataFrame) -> np.ndarray:
-    """Counts of all ids in ``ids`` as a table. Tasks count, sums are made in two steps, and one row of fixed size is collected."""
-    parts = tokens.select("ids").mapInArrow(_counts, "h binary")
-    wide = max(1, round(tokens.rdd.getNumPartitions() ** 0.5))
-    parts = parts.repartition(wide).mapInArrow(_added, "h binary").coalesce(1).mapInArrow(_added, "h binary")
-    rows = parts.collect()
-    counts = sum((np.frombuffer(zlib.decompress(r.h), np.int64) for r in rows), np.zeros(1 << 16, np.int64))
-    used = np.flatnonzero(counts)
-    return table_of(counts[: int(used[-1]) + 1 if len(used) else 1])
+def frequency_table(counts: DataFrame) -> np.ndarray:
+    """The table of all ids from the tasks' counts (``h``). Sums are made in two steps, and one row of fixed size is collected."""
+    wide = max(1, round(counts.rdd.getNumPartitions() ** 0.5))
+    rows = counts.repartition(wide).mapInArrow(_added, "h binary").coalesce(1).mapInArrow(_added, "h binary").collect()
+    total = sum((np.frombuffer(zlib.decompress(r.h), np.int64) for r in rows), np.zeros(1 << 16, np.int64))
+    used = np.flatnonzero(total)
+    return table_of(total[: int(used[-1]) + 1 if len(used) else 1])
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, file_tokens: int = 4_000_000) -> DataFrame:
@@ -181,20 +172,27 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     end = np.array([end_id], "<u2").tobytes()
 
     def tokenize(batches):
-        pieces = encoder(path)
+        # the last rows of a task carry its counts of ids
+        pieces, total, last = encoder(path), np.zeros(1 << 16, np.int64), None
         for batch in batches:
             doc, texts = batch.column(0), batch.column(1).to_pylist()
             for i in range(0, len(texts), 500):
                 ids = [x + end for x in pieces.encode(texts[i : i + 500])]
-                yield pa.RecordBatch.from_arrays([doc[i : i + 500], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
+                if last:
+                    yield pa.RecordBatch.from_arrays([*last, pa.nulls(len(last[0]), pa.binary())], ["doc_id", "ids", "h"])
+                last = doc[i : i + 500], pa.array(ids, pa.binary())
+        if last:
+            counts = [zlib.compress(total.tobytes(), 1)] + [None] * (len(last[0]) - 1)
+            yield pa.RecordBatch.from_arrays([*last, pa.array(counts, pa.binary())], ["doc_id", "ids", "h"])
 
     texts = docs.select("doc_id", "text")
     ranges = max(2, 2 * texts.rdd.getNumPartitions())
     ordered = texts.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    tokens = staged(ordered.mapInArrow(tokenize, "doc_id long, ids binary"), "tokens")
+    tokens = staged(ordered.mapInArrow(tokenize, "doc_id long, ids binary, h binary"), "tokens")
     del ordered
     release_shuffles(spark)
-    freq = frequency_table(tokens)
+    freq = frequency_table(tokens.where("h IS NOT NULL").select("h"))
     packed = packed_table(freq)
 
     def write(batches):
@@ -227,7 +225,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         if docs_held:
             yield flush()
 
-    return staged(tokens.mapInArrow(write, "first_doc long, path string, n_docs long, n_tokens long, n_bytes long, crc32 long"), "manifest")
+    return staged(tokens.select("doc_id", "ids").mapInArrow(write, "first_doc long, path string, n_docs long, n_tokens long, n_bytes long, crc32 long"), "manifest")
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
