@@ -93,10 +93,12 @@ class Coder:
                 x[:] = self.freq[s] * (x >> np.uint64(BITS)) + slot - self.cum[s]
                 low = np.flatnonzero(x < np.uint64(1 << LOW))
                 if len(low):
+                    if at + len(low) > len(words):
+                        raise ValueError("a token block is damaged: checksum or length differs")
                     x[low] = (x[low] << np.uint64(32)) | words[at : at + len(low)]
                     at += len(low)
             if zlib.crc32(out[first:stop].astype("<u4").tobytes()) != crc:
-                raise ValueError("checksum of a token block differs")
+                raise ValueError("a token block is damaged: checksum or length differs")
             if only is not None:
                 begin, end = first, stop
         return out[begin:end]
