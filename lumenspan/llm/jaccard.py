@@ -306,15 +306,15 @@ def joined_block(ids: np.ndarray, sets: list[np.ndarray], other: tuple[np.ndarra
 
 
 def classes_of(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, set_id of each document."""
+    """doc_id, tid (a hash of the text), n_shingles and set_id of each document."""
 
     def run(batches):
         cleared()
         for batch in batches:
-            sets = list(sets_of(batch.column(1), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n_shingles", "set_id"])
+            sets = list(sets_of(batch.column(2), n))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_hash(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "tid", "n_shingles", "set_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_id long")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("tid"), "text").mapInArrow(run, "doc_id long, tid long, n_shingles long, set_id long")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -337,12 +337,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     release_shuffles(spark)
 
     # one document for each class of a block, then the slices of its block
-    own = classes.join(blocks, "set_id").groupBy("set_id", "block").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
+    own = classes.join(blocks, "set_id").groupBy("set_id", "block").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("rep"), F.first("n_shingles").alias("n_shingles"))
     total = own.groupBy("block").agg(F.ceil(F.sum(8 * F.col("n_shingles") + 64) / SLICE_BYTES).alias("slices"))
     own = staged(own.join(total, "block").withColumn("slice", F.pmod(F.xxhash64("set_id"), "slices").cast("int")), "members")
-    rep = own.select("set_id", "block", "slices", "slice", F.col("rep").alias("doc_id"))
+    rep = own.select("set_id", "block", "slices", "slice", F.col("rep.doc_id").alias("rep_doc"), F.col("rep.tid").alias("tid"))
     # a sort-merge join at every size: the side without texts grows with the documents, too
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(rep.hint("merge"), "doc_id").select("set_id", "block", "slices", "slice", "text")
+    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("own_tid"), "text")
+    texts = texts.join(rep.hint("merge"), (F.col("own_tid") == F.col("tid")) & F.col("doc_id").eqNullSafe(F.col("rep_doc"))).select("set_id", "block", "slices", "slice", "text")
 
     def sets(batches):
         cleared()

@@ -398,8 +398,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     grams = staged(shared_grams(long_texts, max(2, -(-total // 60 // MEET))), "grams")
     release_shuffles(spark)
     # whole texts that have shared grams, one of each group of equal ones
-    wanted = copies.join(grams, "tid").select(F.col("rep").alias("doc_id"), F.col("sha").alias("want"), "tid", "copies", "grams")
-    found = docs.select(F.col("doc_id").cast("long"), text.alias("text")).join(wanted.hint("merge"), "doc_id").where(F.sha2(F.col("text").cast("binary"), 256) == F.col("want"))
+    wanted = copies.join(grams, "tid").select("rep", F.col("sha").alias("want"), "tid", "copies", "grams")
+    own = docs.select(F.col("doc_id").cast("long"), sha.alias("own"), text.alias("text"))
+    found = own.join(wanted.hint("merge"), (F.col("own") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = staged(found.select("tid", "text", "copies", "grams"), "texts")
     release_shuffles(spark)
     chosen = texts.agg(F.sum(F.aggregate("grams", F.lit(0).cast("long"), lambda a, g: a + F.octet_length(g)))).first()[0] or 0

@@ -349,3 +349,17 @@ def test_pipeline(spark, small):
 
 def test_every_query_is_there():
     assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_rows_without_ids(spark):
+    """Texts whose doc_id is null count like others, for themselves and for what they share with others."""
+    a, b = PROSE[5], PROSE[6]
+    t = table(spark, [a + " " + b, a + " qq " + b, a, b], ids=[None, 2, None, 4])
+    got = {r.doc_id: r.n_removed for r in suffixes.without_repeats(t).where("doc_id IS NOT NULL").collect()}
+    raw = [(a + " " + b).encode(), (a + " qq " + b).encode(), a.encode(), b.encode()]
+    assert len(raw[1]) - 6 <= got[2] <= len(raw[1]) and got[4] == len(raw[3])
+    words = [f"w{i}" for i in range(200)]
+    steps = [" ".join(words[k : k + 170]) for k in (0, 12, 24)]
+    t = table(spark, steps, ids=[7, None, 9])
+    out = {r.doc_id: r.component_id for r in jaccard.near_duplicates(t, 3, 85).collect()}
+    assert out == {7: 7, None: 7, 9: 7}
