@@ -43,17 +43,17 @@ class Pieces:
     CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
     MARK = "\x01"
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
         from tokenizers.normalizers import Sequence
 
-        self.tokenizer = self.bare = Tokenizer.from_file(path)
+        self.path, self.whole = path, None
+        self.tokenizer = Tokenizer.from_file(path)
         steps = json.loads(self.tokenizer.to_str())["normalizer"] or {}
         kinds = {x["type"] for x in steps.get("normalizers", [steps] if steps else [])}
         self.lowers = "Lowercase" in kinds and kinds <= {"NFC", "Replace", "Lowercase"}
         if self.lowers:
-            self.bare = Tokenizer.from_file(path)
-            self.bare.normalizer = Sequence([])
+            self.tokenizer.normalizer = Sequence([])
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
         self.memo: dict[str, bytes] = {}
@@ -66,16 +66,27 @@ class Pieces:
         self.stop = dict(zip(".,", self._ids([".", ","]), strict=True))
         self.met = bytearray(1 << 21)
 
-    def _ids(self, texts: list[str], bare: bool = False) -> list[bytes]:
-        encode = (self.bare if bare else self.tokenizer).encode_batch_fast
-        return [np.array(x.ids, "<u2").tobytes() for x in encode(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that need no normalisation any more; a bounded number at a time."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), 32):
+            out += [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(texts[i : i + 32], add_special_tokens=False)]
+        return out
+
+    def _as_is(self, text: str) -> bytes:
+        """Ids of any text, cut where that is safe; the tokenizer with all its steps is loaded when it is first needed."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(self.path) if self.lowers else self.tokenizer
+        return b"".join(np.array(x.ids, "<u2").tobytes() for x in self.whole.encode_batch_fast(self.CUT.split(text), add_special_tokens=False))
 
     def _together(self, words: list[str]) -> list[bytes]:
         """Ids of words that each start with a blank or a line feed and have no other white space."""
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         out: list[bytes] = []
         texts = ["".join(g) if self.keeps_blank else f" {self.MARK} ".join(g) + f" {self.MARK} " for g in groups]
-        for group, raw in zip(groups, self._ids(texts, True), strict=True):
+        for group, raw in zip(groups, self._ids(texts), strict=True):
             ids = np.frombuffer(raw, "<u2")
             if self.keeps_blank:
                 at = np.append(np.flatnonzero(self.first[ids]), len(ids)) * 2
@@ -139,7 +150,7 @@ class Pieces:
         for c, f, g, x in zip(cut, found, gaps, texts, strict=True):
             for i in g:
                 f[i] = learned[c[i]]
-            out.append(b"".join(f) if c is not None else b"".join(self._ids(self.CUT.split(x))))
+            out.append(b"".join(f) if c is not None else self._as_is(x))
         self._keep(learned)
         if len(self.memo) > self.most:
             self.memo = dict(islice(self.memo.items(), self.most // 2))
