@@ -78,11 +78,13 @@ def schedule(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[
     copies = F.greatest(F.lit(0), F.least(F.lit(most), F.floor((F.col("target") - F.col("sent")) / F.col("source_size")) + 1))
     queued = queued.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long"))
     queued = staged(queued.select("doc_id", "row", "tkey", "skey", "snull", "size", "source_size", "target", "sent", "copies"), "queued")
-    gap = queued.groupBy("skey", "snull").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap"))
+    # small tables of known size, so that joins with them need not deal rows by source
+    gap = staged(queued.groupBy("skey", "snull").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap")), "gaps")
     apart = F.abs(F.col("gap") - F.col("size"))
     candidates = queued.where((F.col("size") > 0) & (F.col("copies") < most)).join(gap, ["skey", "snull"]).where(apart < F.col("gap"))
     filler = candidates.groupBy("skey", "snull").agg(F.min(F.struct(apart.alias("apart"), "sent", "row", "doc_id")).alias("pick"))
     filler = filler.select("skey", "snull", F.col("pick.sent").alias("pick_sent"), F.col("pick.row").alias("pick_row"), F.col("pick.doc_id").alias("pick_doc"))
+    filler = staged(filler, "filler")
     picked = F.coalesce((F.col("sent") == F.col("pick_sent")) & (F.col("row") == F.col("pick_row")) & F.col("doc_id").eqNullSafe(F.col("pick_doc")) & (F.col("size") > 0), F.lit(False))
     out = queued.join(filler, ["skey", "snull"], "left")
     finish = F.when(F.col("target") > 0, F.col("sent") / F.col("target"))

@@ -135,7 +135,7 @@ def judged(docs: DataFrame, spread: float = 6.0, accuracy: int = 2000) -> DataFr
     m = staged(m.withColumn("group", F.concat_ws("\x1f", *(F.when(F.col(c).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(c))) for c in ("lang", "source")))), "metrics")
     sketch = m.where("NOT base_failed").groupBy("group").agg(*(F.percentile_approx(c, [0.25, 0.75], accuracy).alias(f"q_{c}") for c in FLOORS))
     limits = sketch.select("group", *((F.col(f"q_{c}")[1] + F.greatest(spread * (F.col(f"q_{c}")[1] - F.col(f"q_{c}")[0]), F.lit(floor))).alias(f"most_{c}") for c, floor in FLOORS.items()))
-    out = m.join(limits, "group", "left")
+    out = m.join(staged(limits, "limits"), "group", "left")
     high = None
     for c in FLOORS:
         over = F.coalesce(F.col(c) > F.col(f"most_{c}"), F.lit(False))
