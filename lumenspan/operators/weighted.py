@@ -26,3 +26,9 @@ def quantiles(bins: DataFrame, keys: list[str], levels: dict[str, float], value:
     w = Window.partitionBy(*keys)
     ranked = merged.withColumn("__all", F.sum("__w").over(w)).withColumn("__upto", F.sum("__w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
     return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("__upto") >= q * F.col("__all"), F.col(value))).alias(name) for name, q in levels.items()))
+
+
+def at_index(values: Column, share: float) -> Column:
+    """The value at place int(share * (n - 1)) of the sorted ones."""
+    ordered = F.array_sort(values)
+    return F.get(ordered, F.floor(share * (F.size(ordered) - 1)).cast("int"))

@@ -8,10 +8,11 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import anomaly, cardinality, graph, logs, rollup, sampling, storage, tree
+from .operators import anomaly, cardinality, graph, logs, rollup, sampling, storage, tree, weighted
 from .plans import logical
-from .sources import fixtures
+from .sources import fixtures, otlp
 from .sources.fixtures import LOGS_SQL, SPANS_SQL, TREES_SQL
+from .streaming import assemble
 from .work import new_folder
 
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
@@ -367,3 +368,39 @@ def storage_stats(spark, sf_dir):
 def storage_top_columns(spark, sf_dir):
     per = storage.column_stats(spark, {"lineitem": f"{sf_dir}/lineitem.parquet"}).groupBy("table", "column").agg(F.sum("compressed").alias("compressed_bytes"), F.sum("uncompressed").alias("uncompressed_bytes"))
     return per.orderBy(F.desc("compressed_bytes")).limit(10)
+
+
+@query(f"WITH {SPANS_SQL}, s AS (SELECT service_name, list_sort(list(duration_ns)) AS d FROM spans GROUP BY ALL) SELECT service_name, d[1 + CAST(floor(0.5 * (len(d) - 1)) AS BIGINT)] AS p50, d[1 + CAST(floor(0.99 * (len(d) - 1)) AS BIGINT)] AS p99 FROM s")
+def export_latency(spark, sf_dir):
+    per = fixtures.spans(spark, sf_dir).groupBy("service_name").agg(F.collect_list("duration_ns").alias("d"))
+    return per.select("service_name", weighted.at_index(F.col("d"), 0.5).alias("p50"), weighted.at_index(F.col("d"), 0.99).alias("p99"))
+
+
+@query(f"WITH {SPANS_SQL} SELECT ts_ns, trace_id, span_id, service_name, span_name, duration_ns, status_code, k FROM spans")
+def decode_spans(spark, sf_dir):
+    """Spans written as export requests and decoded again."""
+    text = lambda c: F.struct(c.cast("string").alias("stringValue"))
+    pair = lambda k, c: F.struct(F.lit(k).alias("key"), text(c).alias("value"))
+    s = fixtures.spans(spark, sf_dir)
+    one = F.struct(
+        F.col("trace_id").alias("traceId"), F.col("span_id").alias("spanId"), F.col("span_name").alias("name"), F.lit(2).alias("kind"), F.col("ts_ns").cast("string").alias("startTimeUnixNano"),
+        (F.col("ts_ns") + F.col("duration_ns")).cast("string").alias("endTimeUnixNano"), F.array(pair("k", F.col("span_attributes")["k"])).alias("attributes"),
+        F.struct(F.when(F.col("status_code") == "error", 2).otherwise(1).alias("code")).alias("status"),
+    )
+    requests = s.groupBy("service_name").agg(F.collect_list(one).alias("spans")).select(
+        F.to_json(F.struct(F.array(F.struct(F.struct(F.array(pair("service.name", F.col("service_name"))).alias("attributes")).alias("resource"), F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))).alias("value")
+    )
+    back = otlp.spans(requests)
+    return back.select("ts_ns", "trace_id", "span_id", "service_name", "span_name", "duration_ns", "status_code", F.col("span_attributes")["k"].alias("k"))
+
+
+@query(_red_sql(60))
+def stream_rollup(spark, sf_dir):
+    """Rollup states of a stream's micro-batches, merged when they are read."""
+    path = new_folder(spark, "stream")
+    spans = fixtures.spans(spark, sf_dir)
+    spans.repartition(3).write.parquet(f"{path}/in")
+    read = assemble.source(spark, "parquet", spans.schema, path=f"{path}/in", maxFilesPerTrigger=1)
+    q = read.writeStream.foreachBatch(assemble.rollup_sink(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rollup.red(spark.read.parquet(f"{path}/out/red_1m"))

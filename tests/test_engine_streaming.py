@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lumenspan.engine import Engine, TooManyRows
 from lumenspan.operators import rollup, sampling, storage
 from lumenspan.sources import fixtures, generators
-from lumenspan.streaming import assemble
+from lumenspan.streaming import assemble, keys, templates
 
 NOW = datetime(2024, 1, 8, tzinfo=timezone.utc)
 
@@ -86,3 +86,23 @@ def test_early_close_and_keys(spark):
     sent, failed = [], []
     sink = assemble.notify(lambda r: sent.append(r) if r["i"] else failed.append(r) or 1 / 0)
     assert len(sink(spark.createDataFrame([(0,), (1,)], "i long"), 0)) == 1 and len(sent) == 1
+
+
+def test_templates_widen_over_batches(spark, tmp_path):
+    lines = [(i, f"user u{'abc'[i % 3]} came in at gate {'xyz'[i // 3 % 3]}") for i in range(9)] + [(20, "disk full"), (21, None)]
+    for i in range(2):
+        spark.createDataFrame(lines[i::2], "ts_ns long, body string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    read = assemble.source(spark, "parquet", spark.read.parquet(f"{tmp_path}/in").schema, path=f"{tmp_path}/in", maxFilesPerTrigger=1)
+    q = templates.templates(read).writeStream.foreachBatch(assemble.write_once(f"{tmp_path}/out", "t")).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    out = spark.read.parquet(f"{tmp_path}/out/t")
+    assert out.count() == len(lines)
+    last = {r.leaf.split("\x1f")[0]: r.template_text for r in out.orderBy("ts_ns").collect()}
+    assert last["2"] == "disk full" and last["1"] == ""
+    assert out.where("changed").count() < len(lines)
+
+
+def test_keys(spark):
+    rows = spark.createDataFrame([("0" * 32, "a"), ("f" * 32, "b"), (None, "c")], "t string, s string")
+    assert [r[0] for r in rows.select(keys.log_key(F.col("t"), F.col("s"))).collect()] == ["a", "f" * 32, "c"]
+    assert rows.select(keys.metric_key(F.col("s"), F.lit("m"))).distinct().count() == 3 and rows.select(keys.span_key(F.col("t"))).count() == 3
