@@ -28,10 +28,8 @@ def graph(states: DataFrame, start: int | None = None, end: int | None = None) -
     if end is not None:
         states = states.where(F.col("bucket") < end)
     keys = ["caller_service", "callee_service"]
-    # one pass: totals ride along with the bins
-    sums = states.groupBy(*keys).agg(F.sum("call_weight").alias("calls"), F.sum("error_weight").alias("errors"))
-    sums = sums.withColumn("error_rate", F.when(F.col("calls") > 0, F.col("errors") / F.col("calls")).otherwise(0.0)).drop("errors")
-    return sums.join(quantiles(states, keys, LEVELS), keys)
+    out = quantiles(states, keys, LEVELS, sums={"calls": "call_weight", "errors": "error_weight"})
+    return out.select(*keys, "calls", F.when(F.col("calls") > 0, F.col("errors") / F.col("calls")).otherwise(0.0).alias("error_rate"), *LEVELS)
 
 
 def criticality(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from .weighted import bin_of, quantiles, whole_weight
 
 LEVELS = {"1m": 60, "5m": 300, "1h": 3600}
 KEYS = ["bucket", "service_name", "operation"]
+QUANTILES = {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99}
 
 
 def red_states(spans: DataFrame, level: str = "1m") -> DataFrame:
@@ -34,9 +35,9 @@ def red(states: DataFrame, service: str | None = None, operation: str | None = N
         states = states.where(F.col("bucket") >= start)
     if end is not None:
         states = states.where(F.col("bucket") < end)
-    sums = states.groupBy(*KEYS).agg(F.sum("call_weight").alias("calls"), F.sum("error_weight").alias("errors"))
-    sums = sums.withColumn("error_rate", F.when(F.col("calls") > 0, F.col("errors") / F.col("calls")).otherwise(0.0))
-    return sums.join(quantiles(states, KEYS, {"p50_ns": 0.5, "p95_ns": 0.95, "p99_ns": 0.99}), KEYS)
+    out = quantiles(states, KEYS, QUANTILES, sums={"calls": "call_weight", "errors": "error_weight"})
+    rate = F.when(F.col("calls") > 0, F.col("errors") / F.col("calls")).otherwise(0.0)
+    return out.select(*KEYS, "calls", "errors", rate.alias("error_rate"), *QUANTILES)
 
 
 def level_for(seconds: int) -> str:

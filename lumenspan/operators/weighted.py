@@ -20,12 +20,14 @@ def whole_weight(weight: Column) -> Column:
     return F.bround(weight).cast("long")
 
 
-def quantiles(bins: DataFrame, keys: list[str], levels: dict[str, float], value: str = "bin", weight: str = "w") -> DataFrame:
-    """Per group the smallest bin whose cumulative weight reaches each level's share of all."""
-    merged = bins.groupBy(*keys, value).agg(F.sum(weight).alias("__w"))
+def quantiles(bins: DataFrame, keys: list[str], levels: dict[str, float], value: str = "bin", weight: str = "w", sums: dict[str, str] | None = None) -> DataFrame:
+    """Per group the smallest bin whose cumulative weight reaches each level's share of all, and sums of further columns (``{name: column}``) in the same pass."""
+    sums = sums or {}
+    merged = bins.groupBy(*keys, value).agg(F.sum(weight).alias("__w"), *(F.sum(c).alias(n) for n, c in sums.items()))
     w = Window.partitionBy(*keys)
     ranked = merged.withColumn("__all", F.sum("__w").over(w)).withColumn("__upto", F.sum("__w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("__upto") >= q * F.col("__all"), F.col(value))).alias(name) for name, q in levels.items()))
+    found = [F.min(F.when(F.col("__upto") >= q * F.col("__all"), F.col(value))).alias(name) for name, q in levels.items()]
+    return ranked.groupBy(*keys).agg(*(F.sum(n).alias(n) for n in sums), *found)
 
 
 def at_index(values: Column, share: float) -> Column:
