@@ -32,8 +32,8 @@ class Pieces:
     A pre-tokenizer of either kind here always cuts before a blank or a line feed that stands alone between two other
     characters, and between a letter and a full stop or comma. So the ids of the words, one after the other, are
     the ids of the text. Words recur: one that has been met before is kept in a memo of at most ``most`` words, and new
-    ones are handed to the tokenizer many at a time, told apart by their first token (where tokens keep the blank) or by
-    a mark between them (where blanks are dropped). Texts with other white space are cut by a pattern instead. A full
+    ones are handed to the tokenizer many at a time, told apart by their first tokens (where tokens keep the blank), by
+    their last ones (words of letters, where tokens mark a word's end) or by a mark between them. Texts with other white space are cut by a pattern instead. A full
     memo keeps its older half: words that were met first are the frequent ones.
 
     Where a tokenizer only composes, folds white space and lowers, that is done by Python for texts of Latin-1, in
@@ -41,6 +41,7 @@ class Pieces:
     """
 
     CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+
     MARK = "\x01"
 
     def __init__(self, path: str, most: int = 600_000):
@@ -59,10 +60,11 @@ class Pieces:
         self.memo: dict[str, bytes] = {}
         self.most = most
         self.keeps_blank = self._ids(["a b"])[0] != self._ids(["a\nb"])[0]
-        self.first = np.zeros(1 << 16, bool)
+        self.first, self.last = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.first[i] = token[:1] in "ĠĊ"
-        self.mark = np.frombuffer(self._ids([self.MARK])[0], "<u2")
+            self.first[i], self.last[i] = token[:1] in "ĠĊ", token.endswith("</w>")
+        mark = np.frombuffer(self._ids([self.MARK])[0], "<u2")
+        self.mark = int(mark[0]) if len(mark) == 1 else -1
         self.stop = dict(zip(".,", self._ids([".", ","]), strict=True))
         self.met = bytearray(1 << 21)
 
@@ -85,22 +87,30 @@ class Pieces:
         """Ids of words that each start with a blank or a line feed and have no other white space."""
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         out: list[bytes] = []
-        texts = ["".join(g) if self.keeps_blank else f" {self.MARK} ".join(g) + f" {self.MARK} " for g in groups]
-        for group, raw in zip(groups, self._ids(texts), strict=True):
+        for group, raw in zip(groups, self._ids(["".join(g) for g in groups]), strict=True):
             ids = np.frombuffer(raw, "<u2")
             if self.keeps_blank:
-                at = np.append(np.flatnonzero(self.first[ids]), len(ids)) * 2
-                at = at.tolist()
-                parts = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                at = np.append(np.flatnonzero(self.first[ids]), len(ids))
             else:
-                at = (np.flatnonzero(ids == self.mark[0]) * 2).tolist() if len(self.mark) == 1 else []
-                parts = [raw[a:b] for a, b in zip([0] + [x + 2 for x in at[:-1]], at, strict=True)] if at else []
+                at = np.append(0, np.flatnonzero(self.last[ids]) + 1)
+            at = (2 * at).tolist()
+            parts = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            out += parts if len(parts) == len(group) else self._ids(group)
+        return out
+
+    def _apart(self, words: list[str]) -> list[bytes]:
+        """Ids of words without blanks, with a mark that no text here holds between them."""
+        out: list[bytes] = []
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for group, raw in zip(groups, self._ids([f" {self.MARK} ".join(g) for g in groups]), strict=True):
+            at = np.flatnonzero(np.frombuffer(raw, "<u2") == self.mark) * 2
+            parts = [raw[a:b] for a, b in zip([0, *(at + 2).tolist()], [*at.tolist(), len(raw)], strict=True)]
             out += parts if len(parts) == len(group) else self._ids(group)
         return out
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of words that the memo lacks. A word stands without its blank; one that begins a text has a NUL before it."""
-        ends, stems, odd = [], set(), []
+        ends, stems, odd, mixed = [], set(), [], []
         for w in new:
             if w[-1] in ".," and w[-2:-1].isalpha():
                 ends.append(w)
@@ -109,11 +119,14 @@ class Pieces:
                     continue
             if w[0] == "\0" or "<|" in w:
                 odd.append(w)
+            elif not self.keeps_blank and not w.strip("\n").isalpha():
+                mixed.append(w)
             else:
                 stems.add(w)
         plain = list(stems)
         out = dict(zip(plain, self._together([w if w[0] == "\n" else f" {w}" for w in plain]), strict=True))
         out.update(zip(odd, self._ids([w[1:] if w[0] == "\0" else w if w[0] == "\n" else f" {w}" for w in odd]), strict=True))
+        out.update(zip(mixed, self._apart(mixed), strict=True))
         for w in ends:
             stem = w[:-1]
             out[w] = (out.get(stem) or self.memo.get(stem, b"")) + self.stop[w[-1]]
