@@ -145,25 +145,30 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null has none."""
-        cut: list[list[str] | None] = []
+        get = self.memo.get
+        # one text after the other, so that its words are looked up while they are at hand; only unknown ones are held
+        found: list[tuple[list, list[tuple[int, str]]] | None] = []
         for x in texts:
             if not x:
-                cut.append([])
+                found.append(([], []))
                 continue
             t = x.replace("\n", " \n")
             # only blanks and line feeds as white space, each alone and between other characters; no control characters
             if x.replace("\n", "").isprintable() and "  " not in t and "\n " not in t and t[0] != " " and t[-1] not in " \n" and (not self.lowers or latin(x)):
-                cut.append(("\0" + (t.lower() if self.lowers else t)).split(" "))
+                words = ("\0" + (t.lower() if self.lowers else t)).split(" ")
+                ids = list(map(get, words))
+                found.append((ids, [(i, words[i]) for i, v in enumerate(ids) if v is None]))
             else:
-                cut.append(None)
-        found = [list(map(self.memo.get, c)) if c else [] for c in cut]
-        gaps = [[i for i, v in enumerate(f) if v is None] for f in found]
-        learned = self._learn({c[i] for c, g in zip(cut, gaps, strict=True) for i in g})
+                found.append(None)
+        learned = self._learn({w for f in found if f for _, w in f[1]})
         out = []
-        for c, f, g, x in zip(cut, found, gaps, texts, strict=True):
-            for i in g:
-                f[i] = learned[c[i]]
-            out.append(b"".join(f) if c is not None else self._as_is(x))
+        for f, x in zip(found, texts, strict=True):
+            if f is None:
+                out.append(self._as_is(x))
+                continue
+            for i, w in f[1]:
+                f[0][i] = learned[w]
+            out.append(b"".join(f[0]))
         self._keep(learned)
         if len(self.memo) > self.most:
             self.memo = dict(islice(self.memo.items(), self.most // 2))
