@@ -243,11 +243,11 @@ def sampling_upweight(spark, sf_dir):
 
 
 @query(f"""WITH {SPANS_SQL}, w AS (SELECT span_id, duration_ns, list(duration_ns) OVER (PARTITION BY service_name ORDER BY ts_ns, span_id ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING) AS past FROM spans)
-SELECT span_id AS trace_id, CASE WHEN len(past) > 0 THEN list_sort(past)[1 + least(len(past) * 99 // 100, len(past) - 1)] END AS p99_ns FROM w""")
+SELECT span_id AS trace_id, CASE WHEN len(past) > 0 THEN list_sort(past)[1 + least(len(past) * 99 // 100, len(past) - 1)] ELSE -1 END AS p99_ns FROM w""")
 def sampling_rolling_p99(spark, sf_dir):
     # each span is taken as a trace of its own, so that the window has many of them
     one = fixtures.spans(spark, sf_dir).withColumn("trace_id", F.col("span_id"))
-    return sampling.rolling_p99(sampling.views(one)).select("trace_id", "p99_ns")
+    return sampling.rolling_p99(sampling.views(one)).select("trace_id", F.coalesce("p99_ns", F.lit(-1)).cast("long").alias("p99_ns"))
 
 
 @query()

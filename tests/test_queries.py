@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's result on the same tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lumenspan import queries
@@ -12,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("" if pd.isna(v) else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
