@@ -9,6 +9,8 @@ from .base import staged
 
 #: A word: what stands between blanks and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Fixed value: a source that the queue and one further document leave off its target by more than this part of it is filled up.
+NEAR = 0.01
 
 
 def size_of(text: Column) -> Column:
@@ -45,14 +47,61 @@ def source_targets(sizes: DataFrame, share: float = 1.0, most: int = 3, weights:
     return per.select("skey", "snull", "source_size", "source_docs", "weight", target.alias("target"))
 
 
+def _running(rows: DataFrame, lead: list[str], *order: str) -> DataFrame:
+    """``running``: the sum of sizes within a source up to each row, by the columns of ``lead`` and then ``order``, in two steps over the groups of ``lead``."""
+    key = ["skey", "snull", *lead]
+    sums = rows.groupBy(*key).agg(F.sum("size").alias("part"))
+    before = Window.partitionBy("skey", "snull").orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*key, F.coalesce(F.sum("part").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("inside", F.sum("size").over(inside)).join(sums, key).withColumn("running", F.col("before") + F.col("inside")).drop("before", "inside")
+
+
+def _nearest(rows: DataFrame, gap: DataFrame, most: int) -> DataFrame:
+    """Per source the row ``pick`` whose size is nearest to the gap, if a copy of it makes the gap smaller."""
+    apart = F.abs(F.col("gap") - F.col("size"))
+    candidates = rows.where((F.col("size") > 0) & (F.col("copies") < most)).join(gap, ["skey", "snull"]).where(apart < F.col("gap"))
+    return candidates.groupBy("skey", "snull").agg(F.min(F.struct(apart.alias("apart"), "sent", "row", "doc_id", "size")).alias("pick"))
+
+
+def _filled(rows: DataFrame, gap: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Further copies (``skey, snull, sent, more``) of rows that fit into their source's gap, and the gaps that stay.
+
+    A round goes through the queue again, rows with fewer copies first, and takes those that fit together; if the first
+    one too many is more than half of the gap and the others are less, it is taken instead. So a round halves a gap or
+    takes all rows there are, and their number is logarithmic. It ends when nothing fits.
+    """
+    source, none = ["skey", "snull"], rows.select("skey", "snull", "sent").limit(0)
+    taken, left = none, rows
+    while True:
+        left = staged(left.where(F.col("copies") < most).join(gap, source).where(F.col("size") <= F.col("gap")), "left")
+        if left.isEmpty():
+            break
+        run = staged(_running(left, ["copies", "bucket"], "sent"), "run")
+        over = F.col("running") > F.col("gap")
+        first = over & (F.col("running") - F.col("size") <= F.col("gap"))
+        step = run.groupBy(*source).agg(F.first("gap").alias("was"), F.coalesce(F.max(F.when(~over, F.col("running"))), F.lit(0)).alias("fit"), F.max(F.when(first, F.col("size"))).alias("next"))
+        alone = F.coalesce((F.col("fit") * 2 < F.col("was")) & (F.col("next") > 0), F.lit(False))
+        step = staged(step.withColumn("alone", alone), "step")
+        marked = staged(run.join(step.select(*source, "alone"), source).withColumn("take", F.when(F.col("alone"), first).otherwise(~over)), "marked")
+        taken = taken.unionByName(marked.where("take").select("skey", "snull", "sent"))
+        new = F.col("was") - F.when(F.col("alone"), F.col("next")).otherwise(F.col("fit"))
+        after = step.select(*source, new.alias("new"))
+        gap = staged(gap.join(after, source, "left").select(*source, F.coalesce("new", "gap").alias("gap")), "gap")
+        left = marked.select(*source, "bucket", "sent", "size", (F.col("copies") + F.col("take").cast("long")).alias("copies"))
+    return taken.groupBy("skey", "snull", "sent").agg(F.count(F.lit(1)).alias("more")), gap
+
+
 def schedule(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
     """How often the mix takes each document, with the virtual finish time of its first copy.
 
     Documents of a source are shuffled by a hash of seed and doc_id and queue up; after the last one the source starts
     again, up to ``most`` times. A copy's virtual finish time is the words its source has sent up to its end, divided
     by the source's target. Served in order of these times, the budget is used up at time 1, so copies that finish
-    by then are taken. What is then missing to a target goes to the one further document of that source whose size is
-    nearest to the gap, if it makes the difference smaller.
+    by then are taken. What is then missing to a target goes to the further document of that source whose size is
+    nearest to the gap, if it makes the difference smaller. A source that is still off its target by more than ``NEAR``
+    of it goes through its queue again, over the documents that fit into the gap, until none does; then once more to the
+    nearest one. So a source ends within ``NEAR`` of its target, or no further copy brings it nearer.
 
     The running sum within a source is made in two steps, over about sqrt(documents) buckets and within each, so that
     no task holds a whole source.
@@ -68,27 +117,39 @@ def schedule(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[
     shuffled = sizes.join(targets, ["skey", "snull"])
     parts = F.greatest(F.lit(1), F.ceil(F.sqrt("source_docs"))).cast("long")
     shuffled = shuffled.withColumn("bucket", F.floor(F.conv(F.substring("row", 1, 8), 16, 10).cast("long") * parts / (1 << 32)))
-    key = ["skey", "snull", "bucket"]
-    sums = shuffled.groupBy(*key).agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy("skey", "snull").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*key, F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("sent_before"))
-    inside = Window.partitionBy(*key).orderBy("row", "size", "doc_id", "tkey").rowsBetween(Window.unboundedPreceding, 0)
-    queued = shuffled.withColumn("sent_inside", F.sum("size").over(inside)).join(sums, key)
-    queued = queued.withColumn("sent", F.col("sent_before") + F.col("sent_inside"))
+    queued = _running(shuffled, ["bucket"], "row", "size", "doc_id", "tkey").withColumnRenamed("running", "sent")
     copies = F.greatest(F.lit(0), F.least(F.lit(most), F.floor((F.col("target") - F.col("sent")) / F.col("source_size")) + 1))
     queued = queued.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long"))
-    queued = staged(queued.select("doc_id", "row", "tkey", "skey", "snull", "size", "source_size", "target", "sent", "copies"), "queued")
+    queued = staged(queued.select("doc_id", "row", "tkey", "skey", "snull", "size", "source_size", "target", "sent", "copies", "bucket"), "queued")
     # small tables of known size, so that joins with them need not deal rows by source
     gap = staged(queued.groupBy("skey", "snull").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap")), "gaps")
-    apart = F.abs(F.col("gap") - F.col("size"))
-    candidates = queued.where((F.col("size") > 0) & (F.col("copies") < most)).join(gap, ["skey", "snull"]).where(apart < F.col("gap"))
-    filler = candidates.groupBy("skey", "snull").agg(F.min(F.struct(apart.alias("apart"), "sent", "row", "doc_id")).alias("pick"))
-    filler = filler.select("skey", "snull", F.col("pick.sent").alias("pick_sent"), F.col("pick.row").alias("pick_row"), F.col("pick.doc_id").alias("pick_doc"))
-    filler = staged(filler, "filler")
-    picked = F.coalesce((F.col("sent") == F.col("pick_sent")) & (F.col("row") == F.col("pick_row")) & F.col("doc_id").eqNullSafe(F.col("pick_doc")) & (F.col("size") > 0), F.lit(False))
-    out = queued.join(filler, ["skey", "snull"], "left")
+    source = ["skey", "snull"]
+    # a row of size > 0 is the only one of its source with its sum
+    here = (F.col("sent") == F.col("pick.sent")) & (F.col("size") > 0)
+    filler = staged(_nearest(queued, gap, most), "filler")
+    missed = F.coalesce("pick.apart", "gap")
+    far = gap.join(filler, source, "left").join(targets.select(*source, "target"), source).where(missed > NEAR * F.col("target"))
+    below = F.coalesce(F.col("pick.size") <= F.col("gap"), F.lit(False))
+    far = staged(far.select(*source, "gap", "pick", missed.alias("missed"), below.alias("below")), "far")
+    extra = F.coalesce(here, F.lit(False)).cast("long")
+    if far.isEmpty():
+        out = queued.join(filler, source, "left").withColumn("extra", extra)
+    else:
+        rows = queued.where(F.col("size") > 0).join(far.drop("gap"), source)
+        rows = rows.withColumn("copies", F.col("copies") + F.when(F.col("below"), extra).otherwise(0)).select(*source, "bucket", "sent", "size", "row", "doc_id", "copies")
+        rows = staged(rows, "far_rows")
+        start = far.select(*source, (F.col("gap") - F.when(F.col("below"), F.col("pick.size")).otherwise(0)).alias("gap"))
+        more, rest = _filled(rows.select(*source, "bucket", "sent", "size", "copies"), start, most)
+        rows = rows.join(staged(more, "more"), [*source, "sent"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0)))
+        rows = staged(rows, "filled")
+        last = staged(_nearest(rows, rest, most), "last")
+        better = rest.join(last, source, "left").join(far.select(*source, "missed"), source).where(F.coalesce("pick.apart", "gap") < F.col("missed"))
+        better = staged(better.select(*source, "pick"), "better")
+        final = rows.join(better, source).select(*source, "sent", (F.col("copies") + extra).alias("final"))
+        out = queued.join(filler, source, "left").join(final, [*source, "sent"], "left")
+        out = out.withColumn("extra", F.when(F.col("final").isNotNull() & (F.col("size") > 0), F.col("final") - F.col("copies")).otherwise(extra))
     finish = F.when(F.col("target") > 0, F.col("sent") / F.col("target"))
-    return out.select("doc_id", "row", "tkey", "size", "source_size", "target", (F.col("copies") + picked.cast("long")).alias("copies"), finish.alias("finish"))
+    return out.select("doc_id", "row", "tkey", "size", "source_size", "target", (F.col("copies") + F.col("extra")).alias("copies"), finish.alias("finish"))
 
 
 def mix(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:

@@ -148,6 +148,24 @@ def test_mixing(docs, none, spark):
     assert sum(r["copies"] for r in mixing.schedule(twice).collect()) == mixing.mix(twice).count()
 
 
+def test_mixing_fills_targets(spark, small):
+    """Long documents in a queue don't leave their source off its target while others fit."""
+    rows = [(20 * k + s, "w " * (4000 if k == 7 else 5 + (k * 7 + s) % 90), f"s{s}") for s in range(4) for k in range(60)]
+    long = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for docs in (long, spark.read.parquet(f"{small}/documents.parquet")):
+        named = {r.doc_id: r.source for r in docs.collect()}
+        by = defaultdict(list)
+        for r in mixing.schedule(docs).collect():
+            assert 0 <= r["copies"] <= 3
+            by[named[r.doc_id]].append(r)
+        for source, plan in by.items():
+            rest = plan[0].target - sum(r["copies"] * r.size for r in plan)
+            further = [r.size for r in plan if r.size and r["copies"] < 3]
+            assert abs(rest) <= 0.01 * plan[0].target or all(abs(rest - x) >= abs(rest) for x in further), source
+    twice = spark.createDataFrame([*rows, *rows], long.schema)
+    assert sum(r["copies"] for r in mixing.schedule(twice).collect()) == mixing.mix(twice).count()
+
+
 def sets(texts, n):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     out = []
