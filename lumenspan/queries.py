@@ -404,3 +404,27 @@ def stream_rollup(spark, sf_dir):
     q = read.writeStream.foreachBatch(assemble.rollup_sink(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return rollup.red(spark.read.parquet(f"{path}/out/red_1m"))
+
+
+_FORCED = f"""{TREES_SQL}, v AS (SELECT trace_id, max(ts_ns + duration_ns) - min(ts_ns) > 500000000 OR bool_or(status_code = 'error') OR bool_or(span_name = 'line-6') AS kept,
+  CAST('0x' || substr(md5('sampling-decision:' || trace_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.05 AS chosen FROM tree GROUP BY trace_id)"""
+
+
+@query(f"""WITH {_FORCED} SELECT trace_id, span_id, parent_span_id, ts_ns, service_name, duration_ns, status_code, CASE WHEN kept THEN 1.0 ELSE 20.0 END::DOUBLE AS sampling_weight,
+  CASE WHEN span_name = 'line-6' THEN 'true' ELSE 'false' END AS forced, span_name AS event_name FROM tree JOIN v USING (trace_id) WHERE kept OR chosen""")
+def stream_assemble(spark, sf_dir):
+    """Whole spans of the traces that the shipped chain without its rate limit keeps, assembled from a stream; a sixth line forces its trace."""
+    path = new_folder(spark, "stream")
+    forced = F.when(F.col("span_name") == "line-6", "true").otherwise("false")
+    event = F.struct("ts_ns", F.col("span_name").alias("name"), F.create_map(F.lit("k"), F.col("service_name")).alias("attributes"))
+    spans = fixtures.trees(spark, sf_dir).withColumns({"span_attributes": F.create_map(F.lit("debug.force_sample"), forced), "events": F.array(event)})
+    spans.write.parquet(f"{path}/in")
+    read = assemble.source(spark, "parquet", spans.schema, path=f"{path}/in", maxFilesPerTrigger=1_000_000)
+    out = assemble.assemble(read, tuple(p for p in sampling.SHIPPED if p.kind != "rate_limit"), wait_ms=1000, keep_ms=1000, early=False)
+    q = out.writeStream.foreachBatch(assemble.write_once(f"{path}/out", "spans")).option("checkpointLocation", f"{path}/state").start()
+    try:
+        assemble.until_empty(q)
+    finally:
+        q.stop()
+    back = spark.read.schema(out.schema).parquet(f"{path}/out/spans")
+    return back.select("trace_id", "span_id", "parent_span_id", "ts_ns", "service_name", "duration_ns", "status_code", "sampling_weight", F.col("span_attributes")["debug.force_sample"].alias("forced"), F.col("events")[0]["name"].alias("event_name"))

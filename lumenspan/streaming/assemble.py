@@ -3,29 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import share_of
 from ..operators import rollup
 from ..operators.sampling import SALT, Policy
 from ..schema import DEFAULTS
 
 COLUMNS = ["ts_ns", "span_id", "parent_span_id", "service_name", "span_name", "duration_ns", "status_code"]
-OUTPUT = "trace_id string, ts_ns long, span_id string, parent_span_id string, service_name string, span_name string, duration_ns long, status_code string, sampling_weight double, late boolean"
-STATE = "decided boolean, weight double, spans array<struct<ts_ns: long, span_id: string, parent_span_id: string, service_name: string, span_name: string, duration_ns: long, status_code: string>>"
+#: Whole spans go through state as JSON, next to what closing and deciding look at; ``marks`` has a 1 for each attribute policy that the span meets.
+HELD = [*COLUMNS, "marks", "span"]
+STATE = "decided boolean, weight double, spans array<struct<ts_ns: long, span_id: string, parent_span_id: string, service_name: string, span_name: string, duration_ns: long, status_code: string, marks: string, span: string>>"
+OUTPUT = "span string, sampling_weight double, late boolean"
+#: Kinds of policy that look at one trace alone.
+KINDS = ("errors", "slow", "attribute", "probabilistic")
+JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def _verdict(rows: list[tuple], share: float, chain: tuple[Policy, ...]) -> float:
-    """Weight of a whole trace, 0 if it is dropped: the first policy that decides. Rate limits and rolling thresholds need other traces and abstain."""
+    """Weight of a whole trace, 0 if it is dropped: the first policy that decides."""
     start, end = min(r[0] for r in rows), max(r[0] + r[5] for r in rows)
+    attribute = -1
     for p in chain:
+        attribute += p.kind == "attribute"
         if p.kind == "errors" and any(r[6] == "error" for r in rows):
             return 1.0
         if p.kind == "slow" and end - start > p.threshold_ns:
             return 1.0
+        if p.kind == "attribute" and any(r[7][attribute] == "1" for r in rows):
+            return 1.0
         if p.kind == "probabilistic":
             return 1 / p.rate if p.rate > 0 and (p.rate >= 1 or share < p.rate) else 0.0
     return 0.0
@@ -42,13 +51,21 @@ def closed(rows: list[tuple]) -> bool:
 
 
 def assemble(spans: DataFrame, chain: tuple[Policy, ...], wait_ms: int = DEFAULTS["decision_wait_ms"], keep_ms: int = DEFAULTS["decided_ttl_ms"], early: bool = True) -> DataFrame:
-    """Spans of sampled traces with their weight, as soon as each trace is decided.
+    """Whole spans of sampled traces, with all their columns, ``sampling_weight`` and ``late``, as soon as each trace is decided.
 
     A trace is held from its first span for ``wait_ms`` of processing time, or until its root closes it. Then the chain decides once. Spans that come
     later get the same verdict for ``keep_ms``; after that, the trace would begin anew. State is the checkpoint's, so
     a restart goes on without losing or repeating decisions.
+
+    Rate limits and rolling thresholds need a second state, by service; the engine allows one such operator in a stream,
+    so a chain that has them is an error here. ``sampling.decide`` has them.
     """
-    keyed = spans.select("trace_id", *COLUMNS, share_of(F.col("trace_id"), SALT).alias("share"))
+    if other := [p.kind for p in chain if p.kind not in KINDS]:
+        raise ValueError(f"policies that a stream can't apply: {other}")
+    kinds = spans.drop("sampling_weight").schema
+    has = lambda p: [F.coalesce(F.col(c)[p.key] == p.value, F.lit(False)) for c in ("span_attributes", "resource_attributes") if c in spans.columns]
+    marks = F.concat(F.lit(""), *(reduce(Column.__or__, has(p), F.lit(False)).cast("int").cast("string") for p in chain if p.kind == "attribute"))
+    keyed = spans.select("trace_id", *COLUMNS, marks.alias("marks"), F.to_json(F.struct(*kinds.names), JSON).alias("span"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         decided, weight, held = state.get if state.exists else (False, 0.0, [])
@@ -60,7 +77,7 @@ def assemble(spans: DataFrame, chain: tuple[Policy, ...], wait_ms: int = DEFAULT
             decided, late, fresh = True, False, held
             weight = _verdict(held, _share(key[0]), chain)
         else:
-            fresh = [tuple(r) for b in batches for r in b[COLUMNS].itertuples(index=False)]
+            fresh = [tuple(r) for b in batches for r in b[HELD].itertuples(index=False)]
             late = decided
             if not decided:
                 seen = {r[1] for r in held}
@@ -76,12 +93,10 @@ def assemble(spans: DataFrame, chain: tuple[Policy, ...], wait_ms: int = DEFAULT
         state.update((decided, weight, []))
         state.setTimeoutDuration(keep_ms)
         if weight > 0 and fresh:
-            out = pd.DataFrame(fresh, columns=COLUMNS)
-            out.insert(0, "trace_id", key[0])
-            out["sampling_weight"], out["late"] = weight, late
-            yield out
+            yield pd.DataFrame({"span": [r[8] for r in fresh], "sampling_weight": weight, "late": late})
 
-    return keyed.groupBy("trace_id").applyInPandasWithState(step, OUTPUT, STATE, "append", "ProcessingTimeTimeout")
+    out = keyed.groupBy("trace_id").applyInPandasWithState(step, OUTPUT, STATE, "append", "ProcessingTimeTimeout")
+    return out.select(F.from_json("span", kinds, JSON).alias("span"), "sampling_weight", "late").select("span.*", "sampling_weight", "late")
 
 
 def _share(trace_id: str) -> float:
@@ -90,6 +105,19 @@ def _share(trace_id: str) -> float:
     return int(hashlib.md5((SALT + trace_id).encode()).hexdigest()[:8], 16) / float(1 << 32)
 
 
+def until_empty(q) -> None:
+    """Wait until each trace's decision has expired, for a stream whose first micro-batch reads all input. (processAllAvailable doesn't return while timers run.)"""
+    import time
+
+    while q.isActive:
+        held = [o["numRowsTotal"] for o in (q.lastProgress or {"stateOperators": []})["stateOperators"]]
+        if held and not any(held):
+            return
+        time.sleep(0.2)
+    if q.exception():
+        raise q.exception()
+
+
 def write_once(spark_path: str, table: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: each micro-batch has a folder of its own, which a repeated batch overwrites."""
     def sink(batch: DataFrame, batch_id: int) -> None:

@@ -64,6 +64,32 @@ def test_stream_decides_like_batch(spark, tmp_path):
     assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
 
 
+def test_stream_carries_whole_spans_and_applies_attributes(spark, tmp_path):
+    mark = F.when(F.col("span_name") == "charge", "yes").otherwise("no")
+    spans = generators.traces(spark, 60).withColumns({
+        "span_attributes": F.create_map(F.lit("force"), mark), "resource_attributes": F.create_map(F.lit("host"), F.lit("a"), F.lit("none"), F.lit(None).cast("string")),
+        "status_message": F.lit("m"), "events": F.array(F.struct("ts_ns", F.lit("e").alias("name"), F.create_map(F.lit("a"), F.lit("b")).alias("attributes"))),
+        "links": F.array(F.struct("trace_id", "span_id", F.create_map(F.lit("a"), F.lit("b")).alias("attributes"))),
+    })
+    spans.write.parquet(f"{tmp_path}/in")
+    P = sampling.Policy
+    chain = (P("errors"), P("attribute", key="other", value="yes"), P("attribute", key="force", value="yes"), P("probabilistic", rate=0.2))
+    read = assemble.source(spark, "parquet", spans.schema, path=f"{tmp_path}/in")
+    out = assemble.assemble(read, chain, wait_ms=1000, keep_ms=1000, early=False)
+    q = out.writeStream.foreachBatch(assemble.write_once(f"{tmp_path}/out", "spans")).option("checkpointLocation", f"{tmp_path}/state").start()
+    assemble.until_empty(q)
+    q.stop()
+    decided = sampling.decide(spans, chain)
+    assert "attribute" in {r.policy for r in decided.collect()}
+    want = sampling.sampled(spans, decided)
+    assert set(want.columns) | {"late"} == set(out.columns)
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out/spans").select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    for kind in ("rate_limit", "rolling_p99", "other"):
+        with pytest.raises(ValueError, match=kind):
+            assemble.assemble(spans, (P(kind),))
+
+
 def test_rollup_stream_equals_batch(spark, tmp_path):
     spans = generators.spans(spark, 400)
     spans.repartition(4).write.parquet(f"{tmp_path}/in")
