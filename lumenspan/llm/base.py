@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +25,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where they are one process, an own one if it is unset; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it names the folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lumenspan-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -59,6 +61,17 @@ def staged(df: DataFrame, name: str = "table") -> DataFrame:
     return out
 
 
+def fresh(names: Iterable[str], *wanted: str) -> list[str]:
+    """Names for helper columns that no column of a table has, whatever the case of its letters."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of plans that nothing holds any more."""
     gc.collect()
@@ -152,13 +165,41 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(begins), np.flatnonzero(ends)
 
 
+def long_hash(data: np.ndarray, fold: bool = False) -> np.uint64:
+    """The hash of one span of any length, summed piece by piece; as span_hashes has it."""
+    total = 0
+    for a in range(0, len(data), STEP_BYTES):
+        piece = data[a : a + STEP_BYTES]
+        part = int(((_FOLDED if fold else _TABLE)[piece] * powers(len(piece))[0]).sum())
+        total += part * pow(int(_BASE), a, 1 << 64)
+    return np.uint64(total % (1 << 64))
+
+
+def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, fold: bool = False) -> np.ndarray:
+    """64-bit hashes (to be mixed) of the bytes from s to e, both in rising order. Long data is taken in pieces of STEP_BYTES, and a span longer than that by itself."""
+    if len(data) <= 2 * STEP_BYTES:
+        c = prefix_hash(data, fold)
+        return (c[e] - c[s]) * powers(len(data))[1][s] if len(data) else np.zeros(len(s), np.uint64)
+    out, i = np.zeros(len(s), np.uint64), 0
+    while i < len(s):
+        a = int(s[i])
+        j = max(i + 1, int(np.searchsorted(e, a + STEP_BYTES, "right")))
+        if j == i + 1:
+            out[i] = long_hash(data[a : e[i]], fold)
+        else:
+            own = data[a : int(e[j - 1])]
+            c = prefix_hash(own, fold)
+            out[i:j] = (c[e[i:j] - a] - c[s[i:j] - a]) * powers(len(own))[1][s[i:j] - a]
+        i = j
+    return out
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words, and how many words lie before each document (n + 1)."""
     if len(data) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     s, e = word_spans(data, offsets)
-    c = prefix_hash(data, fold)
-    return mixed((c[e] - c[s]) * powers(len(data))[1][s]), np.searchsorted(s, offsets)
+    return mixed(span_hashes(data, s, e, fold)), np.searchsorted(s, offsets)
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, n: int) -> Iterator[np.ndarray]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lumenspan.llm import chat, classifier, components, hamming, jaccard, mixing, packing, quality, queries, rans, secrets, suffixes, tokens
+from lumenspan.llm import base, chat, classifier, components, hamming, jaccard, mixing, packing, quality, queries, rans, secrets, suffixes, tokens
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, bucket int, tid long, node long, u long, root long, score double, `group` string, rows binary, c long"
@@ -327,12 +327,41 @@ def test_classifier(spark, small, docs, none):
     again = classifier.scored(docs, model, "__s")
     got = {r.doc_id: r["__s"] for r in again.collect()}
     assert len(got) == len(TEXTS) and all(0 <= v <= 1 for v in got.values()) and again.columns == [*docs.columns, "__s"]
-    assert classifier.scored(none, model).count() == 0
+    assert classifier.scored(none, model).count() == 0 and classifier.scored(docs, model).columns == [*(c for c in docs.columns if c != "score"), "score"]
+    kept = classifier.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() <= len(TEXTS) and classifier.keep_good(none, labels).count() == 0
     for few in (labels.limit(0), labels.where("quality = 1")):
         assert classifier.scored(docs, classifier.fit(d, few), "__s").count() == len(TEXTS)
     assert (classifier.fit(d, labels).w1 == model.w1).all()
 
 
+def test_word_vectors_are_sums_over_all_documents(spark, monkeypatch):
+    """Word by word, and the same with a text far longer than a piece."""
+    texts = ["a b c a", None, "b", "c a b b é", "a b c a"]
+    want, count = np.zeros((classifier.BUCKETS, classifier.DIM)), np.zeros(classifier.BUCKETS)
+    index = classifier.index_vectors()
+    for t in texts:
+        raw = (t or "").encode()
+        rows, _ = classifier.forms(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        for form in rows:
+            for i in range(len(form)):
+                for j in range(max(0, i - 2), min(len(form), i + 3)):
+                    if i != j:
+                        want[form[i]] += index[rows[0][j]]
+                        count[form[i]] += 1
+    got = classifier.learned_vectors(table(spark, texts))
+    assert np.allclose(got, index + want / np.maximum(count, 1)[:, None], atol=1e-6)
+    raw = (" ".join(RNG.choice(["one", "two", "three", "y" * 5000], 400)) + " " + "z" * 9000 + " end").encode()
+    data, at = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    whole, sums = classifier.pooled(data, at, index), classifier.Contexts()
+    sums.add(data, at)
+    for module in (base, classifier):
+        monkeypatch.setattr(module, "STEP_BYTES", 1 << 11)
+    pieces = classifier.Contexts()
+    pieces.add(data, at)
+    assert np.allclose(classifier.pooled(data, at, index), whole, atol=1e-5) and (pieces.total == sums.total).all() and (pieces.count == sums.count).all()
+
+
 def test_search(spark):
     vectors = RNG.normal(size=(300, 70)).round(3)
     vectors[50:80] = vectors[7]
