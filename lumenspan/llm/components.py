@@ -1,4 +1,4 @@
-"""Connected components of links between long ids, by alternating large-star and small-star steps."""
+"""Connected components of links between long ids: forests in every task, then one task for what is left if that is bounded, else large-star and small-star steps."""
 
 from __future__ import annotations
 
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .base import remove, staged
 
 
+#: Links (16 bytes each) that one task takes to its end.
+ONE_TASK = 2_000_000
+
+
 class Forest:
     """Union-find over indexes; the smaller index is the root."""
 
@@ -63,15 +67,34 @@ def _thinned(batches, every: int = 500_000):
         yield flush()
 
 
+def _whole(batches):
+    """node, root of all links in one task."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for batch in batches:
+        us.append(batch.column(0).to_numpy(zero_copy_only=False))
+        vs.append(batch.column(1).to_numpy(zero_copy_only=False))
+    root, node = spanning(np.concatenate(us), np.concatenate(vs))
+    own = np.unique(root)
+    node, root = np.concatenate([node, own]), np.concatenate([root, own])
+    for i in range(0, len(node), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(node[i : i + 100_000], pa.int64()), pa.array(root[i : i + 100_000], pa.int64())], ["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) for each node of ``links`` (u, v); loops and repeated links are fine.
 
-    Links end as stars around the smallest node of each component. A round is two joins of the links with the smallest
-    neighbour of each node, which is aggregated before it is shuffled, so a node with very many links does not
-    gather them in one task. Rounds grow with the logarithm of the longest path.
+    Every task keeps a spanning forest of its links. If at most ONE_TASK links are left, one task ends the work. Beyond
+    that they end as stars around the smallest node of each component: a round is two joins of the links with the
+    smallest neighbour of each node, which is aggregated before it is shuffled; rounds grow with the logarithm of the
+    longest path. The result is the same either way.
     """
     spark = links.sparkSession
-    edges = staged(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_thinned, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    ordered = [F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")]
+    edges = staged(links.where("u <> v").mapInArrow(_thinned, "u long, v long").select(*ordered), "links")
+    if edges.count() <= ONE_TASK:
+        out = staged(edges.repartition(1).mapInArrow(_whole, "node long, root long"), "components")
+        remove(spark, edges.staged_at)
+        return out
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -205,24 +205,100 @@ def test_jaccard_near_copies(spark):
     assert sorted(map(tuple, jaccard.near_duplicates(table(spark, texts), 5, 80).collect())) == want
 
 
+def edited(words, copies, most):
+    out = []
+    for k in range(copies):
+        w = list(words)
+        for at in RNG.integers(0, len(w), RNG.integers(0, most)):
+            w[at] = f"e{k}x{at}"
+        out.append(" ".join(w))
+    return out
+
+
 def test_jaccard_in_slices(spark, monkeypatch):
+    """Blocks of many slices with sets that aren't connected by the pivots."""
     monkeypatch.setattr(jaccard, "SLICE_BYTES", 3000)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
     words = [f"w{i}" for i in RNG.integers(0, 5000, 100)]
     texts = [" ".join(words[:k] + [f"q{k}"] + words[k:]) for k in range(40)]
     assert sorted(map(tuple, jaccard.near_duplicates(table(spark, texts), 3, 90).collect())) == near(texts, 3, 90)
+    words = [f"w{i}" for i in RNG.integers(0, 5000, 200)]
+    texts = [x for k in range(5) for x in edited(words[:200 - 9 * k], 12, 9)]
+    want = near(texts, 5, 80)
+    assert 2 < len({r for _, _, r in want}) < 60
+    assert sorted(map(tuple, jaccard.near_duplicates(table(spark, texts), 5, 80).collect())) == want
 
 
-def test_one_of_each_keeps_rows_without_id(spark):
-    t = table(spark, ["same words here now", "same words here now", "same words here now", "other"], ids=[4, 3, None, 3])
+def test_jaccard_splits_hot_parts(spark, monkeypatch):
+    """A part that many sets have is split by a second one of its block, and nothing is lost."""
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    monkeypatch.setattr(jaccard, "HELD", 100)
+    monkeypatch.setattr(jaccard, "MEET", 2000)
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    words = [f"w{i}" for i in RNG.integers(0, 5000, 260)]
+    texts = [*edited(words[:150], 20, 25), *(" ".join([*words[150:230], *(f"o{k}x{i}" for i in range(70))]) for k in range(20)), *TEXTS]
+    for n, percent in ((5, 80), (3, 90)):
+        assert sorted(map(tuple, jaccard.near_duplicates(table(spark, texts), n, percent).collect())) == near(texts, n, percent)
+
+
+def test_jaccard_keys_miss_no_pair():
+    """Two sets at the threshold share a given-out key whose bitmaps are near, whatever their size; so exactly, not nearly always."""
+    for size in (*range(2, 40), 60, 150, 400, 1100, 5000):
+        for percent in (50, 80, 90):
+            for _ in range(30 if size < 200 else 4):
+                base_ = np.unique(RNG.integers(0, 1 << 63, size).astype(np.uint64))
+                gone = RNG.integers(0, len(base_) * (100 - percent) // 100 + 1)
+                new = (len(base_) * 100 // percent - len(base_)) if not gone else 0
+                other = np.unique(np.concatenate([base_[gone:], RNG.integers(0, 1 << 63, max(0, new)).astype(np.uint64)]))
+                both = len(np.intersect1d(base_, other))
+                if both < jaccard.needed(len(base_), len(other), percent) or len(base_) == len(other) == both or not both:
+                    continue
+                (ka, ta, da, _, ga), (kb, tb, _, _, gb) = (jaccard.part_keys(x, percent) for x in (base_, other))
+                mine = {int(k): (int(t), int(d)) for k, t, d in zip(ka[ga], ta[ga], da[ga], strict=True)}
+                assert any(int(k) in mine and (mine[int(k)][0] ^ int(t)).bit_count() <= mine[int(k)][1] for k, t in zip(kb[gb], tb[gb], strict=True))
+
+
+def test_jaccard_pivots_connect_like_all_pairs():
+    for _ in range(30):
+        tag = RNG.integers(0, 1 << 60, 40).astype(np.uint64)
+        tag = np.concatenate([tag, tag[:20] ^ (np.uint64(1) << RNG.integers(0, 64, 20).astype(np.uint64)), tag[:20] ^ np.uint64(0x3F)])
+        close = np.bitwise_count(tag[:, None] ^ tag[None, :]) <= 6
+        want = components.Forest(len(tag))
+        got = components.Forest(len(tag))
+        for i, j in zip(*np.nonzero(close), strict=True):
+            want.join(int(i), int(j))
+        for i, j in zip(*jaccard.pivoted(tag, 6), strict=True):
+            assert close[i, j]
+            got.join(int(i), int(j))
+        assert [want.find(i) for i in range(len(tag))] == [got.find(i) for i in range(len(tag))]
+
+
+def test_jaccard_unlike_sets_with_one_hash(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "set_id", lambda s, unlike: jaccard.second_hash(s) if 5 in unlike else 5)
+    texts = [*PROSE[:4], PROSE[0], PROSE[1] + " one more"]
+    rows = jaccard.classes_of(table(spark, texts), 3).withColumn("set_id", F.lit(5).cast("long"))
+    assert [r.unlike for r in jaccard.kinds_of(rows).collect()] == [True]
+
+
+def test_one_of_each(spark, none):
+    """By row: unlike texts with one doc_id stay, repeated rows leave one, with or without a doc_id; helper names may be taken."""
+    a, b = "same words here now and then", "other words that nobody else has"
+    t = table(spark, [a, a, a, b, b, b, None, None, " "], ids=[4, 3, None, 3, None, None, 9, 9, None])
+    out = jaccard.one_of_each(t, 5, 80)
+    assert out.columns == t.columns and sorted(((r.doc_id or -1), r.text or "") for r in out.collect()) == [(-1, " "), (3, b), (3, a), (9, ""), (9, "")]
+    t = spark.createDataFrame([(7, a, 1, 2), (7, b, 3, 4), (7, b, 3, 4), (8, b, 5, 6)], "doc_id long, text string, rep_doc int, `key` int")
     out = jaccard.one_of_each(t, 5, 80)
-    assert out.columns == t.columns and sorted((r.doc_id or -1, r.text) for r in out.collect())[0] == (-1, "same words here now")
+    assert out.columns == t.columns and sorted(map(tuple, out.collect())) == [(7, b, 3, 4), (7, a, 1, 2)]
+    assert jaccard.one_of_each(none, 5, 80).count() == 0
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 3), (200, 201)], "u long, v long")
     out = {r.node: r.root for r in components.components(chain).collect()}
     assert all(out[i] == 0 for i in range(61)) and out[201] == 200 and 100 not in out
     assert components.components(chain.limit(0)).count() == 0
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert {r.node: r.root for r in components.components(chain).collect()} == out
 
 
 def test_suffixes(docs, none):
