@@ -301,8 +301,8 @@ def test_components(spark, monkeypatch):
     assert {r.node: r.root for r in components.components(chain).collect()} == out
 
 
-def test_suffixes(docs, none):
-    raw = [(t or "").encode() for t in TEXTS]
+def without_repeats(texts):
+    raw = [(t or "").encode() for t in texts]
     count = Counter(r[i : i + 200] for r in raw for i in range(len(r) - 199))
     want = []
     for d, r in enumerate(raw):
@@ -312,15 +312,42 @@ def test_suffixes(docs, none):
                 gone[i : i + 200] = True
         edge = np.diff(np.concatenate([[0], gone.view(np.int8)]))
         want.append((d, len(r), int(gone.sum()), int((edge == 1).sum()), hashlib.sha256(bytes(np.frombuffer(r, np.uint8)[~gone[:-1]])).hexdigest()))
+    return want
+
+
+def test_suffixes(docs, none):
+    want = without_repeats(TEXTS)
     got = suffixes.without_repeats(docs)
     assert sorted(map(tuple, got.drop("removed").collect())) == want
     assert sum(r[2] for r in want) > 60_000
     assert suffixes.without_repeats(none).count() == 0
 
 
+def test_suffixes_split_frequent_grams(spark, monkeypatch):
+    """A passage of 200 to 230 bytes in very many surroundings, some of which go on alike; every step of splitting, and windows of long rows."""
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    monkeypatch.setattr(suffixes, "HELD", 50)
+    monkeypatch.setattr(suffixes, "STEP", 1 << 10)
+    letters = list("abcd efg")
+    word = lambda n: "".join(RNG.choice(letters, n))
+    passage, line = word(230), word(150)
+    texts = [word(RNG.integers(0, 200)) + passage[RNG.integers(0, 40) :][: RNG.integers(150, 240)] + word(RNG.integers(0, 300)) for _ in range(60)]
+    texts += [word(120) + line + word(3) + passage[:90] + line + word(400) for _ in range(30)] + [passage * 5 + word(90), word(5000) + passage + word(3000), None, "", word(199), "ab" * 700]
+    texts += [texts[3] + "x", "y" + texts[3], texts[5]]
+    assert sorted(map(tuple, suffixes.without_repeats(table(spark, texts)).drop("removed").collect())) == without_repeats(texts)
+
+
+def test_suffixes_of_one_passage_in_5000_surroundings(spark):
+    passage = "".join(RNG.choice(list("abcdefgh "), 200))
+    texts = [f"{i:07d} before {i * 7919:09d} " + passage + f" behind {i * 104729:010d} {i}" * 3 for i in range(5000)]
+    want = without_repeats(texts)
+    assert all(r[2] >= 200 for r in want)
+    assert sorted(map(tuple, suffixes.without_repeats(table(spark, texts)).drop("removed").collect())) == want
+
+
 def test_suffix_runs_merge():
     keys = sorted({bytes(RNG.integers(97, 100, 80).astype(np.uint8)) for _ in range(400)})
-    runs = [[(k, b"l", [(i, j)]) for j, k in enumerate(keys) if (j * 7 + i) % 3 != 0] for i in range(5)]
+    runs = [[(k, b"l", [(b"t" * 12, j)]) for j, k in enumerate(keys) if (j * 7 + i) % 3 != 0] for i in range(5)]
     merged = list(suffixes.LoserTree([suffixes.unfolded(suffixes.front_coded(r)) for r in runs]))
     flat = [k for _, k, _, _ in merged]
     assert flat == sorted(k for r in runs for k, _, _ in r)
