@@ -104,7 +104,7 @@ def tokens(text: str) -> list[Token]:
                     value.append(text[stop])
                 stop += 1
             if stop >= len(text) or text[stop] != '"':
-                raise QueryError("unterminated string", line, column)
+                raise QueryError("this string has no closing quote", line, column)
             out.append(Token("string", text[at : stop + 1], line, column, "".join(value)))
             at = stop + 1
         elif m := _NUMBER.match(text, at):
@@ -166,7 +166,7 @@ class Parser:
         else:
             out = self.select()
         if self.next.kind != "end":
-            raise self.fail("unexpected trailing input")
+            raise self.fail("the query should end here")
         return out
 
     def trace(self) -> TraceQuery:
@@ -174,9 +174,9 @@ class Parser:
         self.expect("(", "'('")
         t = self.expect("string", "a quoted trace id")
         if not t.value:
-            raise self.fail("trace id must not be empty", t)
+            raise self.fail("the id of a trace can't be empty", t)
         if not re.fullmatch(r"[0-9a-fA-F]{32}", t.value):
-            raise self.fail("trace id must be 32 hex digits", t)
+            raise self.fail("the id of a trace has 32 hex digits", t)
         self.expect(")", "')'")
         return TraceQuery(t.value.lower())
 
@@ -204,11 +204,11 @@ class Parser:
         name = self.expect("ident", "a label name").text
         op = self.next
         if op.kind not in MATCHES:
-            raise self.fail("expected a label operator: =, !=, =~ or !~")
+            raise self.fail("a label is followed by one of =, !=, =~, !~")
         self.take()
         t = self.next
         if t.kind not in ("string", "ident"):
-            raise self.fail("expected a quoted string or a bare word")
+            raise self.fail("a label's value is a word or stands in quotes")
         self.take()
         value = t.value if t.kind == "string" else t.text
         if op.kind in ("=~", "!~"):
@@ -236,7 +236,7 @@ class Parser:
             end = self.moment()
             self.expect(")", "')'")
             if start >= end:
-                raise self.fail("range start must be before its end", t)
+                raise self.fail("a range begins before it ends", t)
             return start, end
         return self.now - DEFAULT_RANGE // timedelta(microseconds=1) * 1000, self.now
 
@@ -250,7 +250,7 @@ class Parser:
         t = self.expect("string", "an RFC 3339 time or now")
         m = re.fullmatch(r"(\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d)(?:\.(\d{1,9}))?([Zz]|[+-]\d\d:\d\d)", t.value)
         if not m:
-            raise self.fail("expected an RFC 3339 time", t)
+            raise self.fail("this isn't an RFC 3339 time", t)
         try:
             at = datetime.fromisoformat(m[1].upper() + ("+00:00" if m[3] in "Zz" else m[3]))
         except ValueError as e:
@@ -283,7 +283,7 @@ class Parser:
         name = self.expect("ident", "a filter, an aggregation, sort or limit").text
         op = self.next
         if op.kind not in COMPARISONS:
-            raise self.fail("expected a comparison operator")
+            raise self.fail("a field is followed by one of >, >=, <, <=, ==, !=")
         self.take()
         sign = 1
         if self.next.kind == "-":
