@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import staged
+from .base import fresh, staged
 
 #: A word: what stands between blanks and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -92,13 +92,33 @@ def _filled(rows: DataFrame, gap: DataFrame, most: int) -> tuple[DataFrame, Data
     return taken.groupBy("skey", "snull", "sent").agg(F.count(F.lit(1)).alias("more")), gap
 
 
+def _served(queued: DataFrame, most: int, budget: float) -> DataFrame:
+    """``skey, snull, sent, copies``: how many copies of a queued row are served, and how many of them its source keeps.
+
+    Every copy has its virtual finish time. All are range-sorted by it, a prefix sum in two steps (over the ranges, then
+    in each) says how many words have been served up to a copy, and the first one beyond the budget and all behind it are cut.
+    """
+    each = queued.where((F.col("size") > 0) & (F.col("target") > 0)).select("skey", "snull", "sent", "size", "target", "source_size", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("turn"))
+    words = F.col("turn") * F.col("source_size") + F.col("sent")
+    order = ["finish", "snull", "skey", "sent"]
+    each = each.select("skey", "snull", "sent", "size", (words <= F.col("target")).alias("within"), (words / F.col("target")).alias("finish"))
+    each = staged(each.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "served")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = each.groupBy("range").agg(F.sum("size").alias("part"))
+    sums = staged(sums.select("range", F.coalesce(F.sum("part").over(before), F.lit(0)).alias("before")), "ranges")
+    inside = F.sum("size").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    served = each.withColumn("inside", inside).join(sums, "range").where(F.col("before") + F.col("inside") <= budget)
+    return served.groupBy("skey", "snull", "sent").agg(F.count(F.when(F.col("within"), 1)).alias("copies"))
+
+
 def schedule(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
     """How often the mix takes each document, with the virtual finish time of its first copy.
 
     Documents of a source are shuffled by a hash of seed and doc_id and queue up; after the last one the source starts
     again, up to ``most`` times. A copy's virtual finish time is the words its source has sent up to its end, divided
-    by the source's target. Served in order of these times, the budget is used up at time 1, so copies that finish
-    by then are taken. What is then missing to a target goes to the further document of that source whose size is
+    by the source's target. All copies are sorted by it and served until the budget is used up (``_served``). Then the last
+    documents are repaired: the budget that no whole document filled up was served to copies that take their source beyond its
+    target, and these go back. What is then missing to a target goes to the further document of that source whose size is
     nearest to the gap, if it makes the difference smaller. A source that is still off its target by more than ``NEAR``
     of it goes through its queue again, over the documents that fit into the gap, until none does; then once more to the
     nearest one. So a source ends within ``NEAR`` of its target, or no further copy brings it nearer.
@@ -111,16 +131,19 @@ def schedule(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[
     empty table gives no rows. Output: doc_id, row, tkey (a hash of the text), size,
     source_size, target, copies, finish.
     """
-    row = F.md5(F.concat_ws("\x1f", F.lit(seed), F.col("doc_id").cast("string")))
+    # rows without a doc_id are shuffled by their text
+    row = F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))))
     sizes = staged(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("skey"), F.col("source").isNull().alias("snull"), size_of(F.col("text")).alias("size"), row.alias("row"), F.xxhash64("text").alias("tkey")), "sizes")
     targets = staged(source_targets(sizes, share, most, weights), "targets")
     shuffled = sizes.join(targets, ["skey", "snull"])
     parts = F.greatest(F.lit(1), F.ceil(F.sqrt("source_docs"))).cast("long")
     shuffled = shuffled.withColumn("bucket", F.floor(F.conv(F.substring("row", 1, 8), 16, 10).cast("long") * parts / (1 << 32)))
     queued = _running(shuffled, ["bucket"], "row", "size", "doc_id", "tkey").withColumnRenamed("running", "sent")
-    copies = F.greatest(F.lit(0), F.least(F.lit(most), F.floor((F.col("target") - F.col("sent")) / F.col("source_size")) + 1))
-    queued = queued.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long"))
-    queued = staged(queued.select("doc_id", "row", "tkey", "skey", "snull", "size", "source_size", "target", "sent", "copies", "bucket"), "queued")
+    queued = staged(queued.select("doc_id", "row", "tkey", "skey", "snull", "size", "source_size", "target", "sent", "bucket"), "queue")
+    budget = targets.agg(F.sum("target")).first()[0] or 0.0
+    served = _served(queued, most, budget * (1 + 1e-12))
+    queued = queued.join(served, ["skey", "snull", "sent"], "left").withColumn("copies", F.when(F.col("size") > 0, F.coalesce("copies", F.lit(0))).otherwise(0).cast("long"))
+    queued = staged(queued, "queued")
     # small tables of known size, so that joins with them need not deal rows by source
     gap = staged(queued.groupBy("skey", "snull").agg((F.first("target") - F.sum(F.col("size") * F.col("copies"))).alias("gap")), "gaps")
     source = ["skey", "snull"]
@@ -153,20 +176,28 @@ def schedule(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[
 
 
 def mix(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix") -> DataFrame:
-    """The mixed rows of ``docs`` with all their columns, a row for each copy, globally sorted by virtual finish time.
+    """The mixed rows of ``docs`` with all their columns, whatever these are called, a row for each copy, globally sorted by virtual finish time.
 
     Rows with the same doc_id and text share their copies evenly, the first rows getting one more. Nulls and the rest
     are as in ``schedule``.
     """
     names = docs.columns
+    own, text, doc, tkey, part, copy = fresh(names, "own", "text_hash", "doc", "tkey", "part", "copy")
     plan = schedule(docs, share, most, weights, seed).groupBy("doc_id", "tkey").agg(F.sum("copies").alias("c"), F.min("finish").alias("finish"), F.count(F.lit(1)).alias("m")).where("c > 0")
-    plan = plan.select(F.col("doc_id").alias("__d"), F.col("tkey").alias("__t"), F.struct("c", "finish", "m").alias("__p"))
-    rows = docs.withColumn("__k", F.xxhash64("text"))
-    rows = rows.join(plan.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__t")))
-    turn = F.when(F.col("__p.m") > 1, F.row_number().over(Window.partitionBy("__d", "__t").orderBy("__d"))).otherwise(1)
-    rows = rows.withColumn("__n", F.floor(F.col("__p.c") / F.col("__p.m")) + (turn <= F.col("__p.c") % F.col("__p.m")).cast("long"))
-    rows = rows.where("__n > 0").withColumn("__e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
-    return rows.orderBy(F.col("__p.finish") + F.col("__e"), "doc_id").select(*names)
+    plan = staged(plan.select(F.col("doc_id").alias(doc), F.col("tkey").alias(tkey), F.struct("c", "finish", "m").alias(part)), "plan")
+    c, m = F.col(part)["c"], F.col(part)["m"]
+    marked = docs.withColumns({own: F.col("doc_id"), text: F.xxhash64("text")})
+
+    def copied(plan: DataFrame, of: Column) -> DataFrame:
+        rows = marked.join(plan.hint("merge"), F.col(own).eqNullSafe(F.col(doc)) & (F.col(text) == F.col(tkey)))
+        rows = rows.withColumn(copy, of).where(F.col(copy) > 0)
+        return rows.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(copy) - 1)))
+
+    rows = copied(plan.where(m == 1), c)
+    if not (often := plan.where(m > 1)).isEmpty():
+        turn = F.row_number().over(Window.partitionBy(doc, tkey).orderBy(doc))
+        rows = rows.unionByName(copied(often, F.floor(c / m) + (turn <= c % m).cast("long")))
+    return rows.orderBy(F.col(part)["finish"] + F.col(copy), own).select(*names)
 
 
 #: The schedule in SQL; the queue order is that of the md5 of seed and doc_id.

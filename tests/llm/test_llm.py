@@ -148,6 +148,35 @@ def test_mixing(docs, none, spark):
     assert sum(r["copies"] for r in mixing.schedule(twice).collect()) == mixing.mix(twice).count()
 
 
+def test_mixing_serves_by_finish_time(spark, small):
+    """The copies served are those that a single queue of all would serve before the budget is used up."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    sizes = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("skey"), F.col("source").isNull().alias("snull"), mixing.size_of(F.col("text")).alias("size"))
+    rows = sizes.join(mixing.source_targets(sizes), ["skey", "snull"]).collect()
+    sent, queue = defaultdict(int), []
+    for r in sorted(rows, key=lambda r: (r.skey, r.doc_id)):
+        sent[r.skey] += r.size
+        queue.append((r.skey, r.snull, r.doc_id, sent[r.skey], r["size"], r.source_size, r.target))
+    budget = sum({(q[0], q[6]) for q in queue} and {q[0]: q[6] for q in queue}.values())
+    queued = spark.createDataFrame(queue, "skey string, snull boolean, doc_id long, sent long, size long, source_size long, target double")
+    got = {(r.skey, r.sent): r["copies"] for r in mixing._served(queued, 3, budget * (1 + 1e-12)).collect()}
+    copies = sorted(((c * q[5] + q[3]) / q[6], q[1], q[0], q[3], q[4], c * q[5] + q[3] <= q[6]) for q in queue if q[4] and q[6] for c in range(3))
+    want, total = defaultdict(int), 0
+    for _, _, skey, at, size, within in copies:
+        total += size
+        if total > budget:
+            break
+        want[skey, at] += within
+    assert got == dict(want) and 0 < len(got) < len(queue)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = "doc_id long, text string, source string, own int, part int, copy int, tkey int, doc int, text_hash int"
+    t = spark.createDataFrame([(i, "a b c", "s", 1, 2, 3, 4, 5, 6) for i in (1, 2, 2, None, None)], names)
+    out = mixing.mix(t)
+    assert out.columns == t.columns and {tuple(r)[3:] for r in out.collect()} == {(1, 2, 3, 4, 5, 6)} and out.count() == 5
+
+
 def test_mixing_fills_targets(spark, small):
     """Long documents in a queue don't leave their source off its target while others fit."""
     rows = [(20 * k + s, "w " * (4000 if k == 7 else 5 + (k * 7 + s) % 90), f"s{s}") for s in range(4) for k in range(60)]
