@@ -29,20 +29,34 @@ def turn_tokens(text: Column) -> Column:
     return (F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) + 4).cast("long")
 
 
+def _history(last: Column, n: Column, room: Column, history: int) -> tuple[Column, Column]:
+    """How many of the last turns are repeated before a span that begins with a turn of n tokens, and their tokens: as many as leave half of the room, and that turn's place, free."""
+    count, tokens, total = F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k in range(1, history + 1):
+        total = total + F.coalesce(F.get(last, F.lit(k - 1)), F.lit(0))
+        fits = (F.size(last) >= k) & (total * 2 <= room) & (total + n <= room)
+        count, tokens = F.when(fits, k).otherwise(count), F.when(fits, total).otherwise(tokens)
+    return count, tokens
+
+
 def formatted(turns: DataFrame, budget: int = 1024, history: int = 2) -> DataFrame:
     """Format conversations (``conv_id, turn, role, text``) as windows of whole turns within a token budget.
 
-    Prefix sums of the turns' tokens place each turn in a span: a turn opens a new span when the sum since the span's
-    start would pass the budget; a turn larger than the budget is a span of its own. Each span becomes a window: the
-    system turns of the conversation, up to ``history`` turns before the span, then the span. Assistant turns in the
-    span are targets; system turns and history are repeated context and are masked, so each assistant text is a target once.
+    The conversation's system turns are reserved first; the rest of the budget is room for spans of whole turns, chosen
+    by running sums of the turns' tokens: a turn that would pass the room opens a new span. Each span becomes a window:
+    the system turns before it, up to ``history`` turns before it, then the span. History takes at most half of the
+    room and is shortened, from its oldest turn on, until the span's first turn fits. So no window passes the
+    budget, but one whose single turn doesn't fit beside the system turns: turns are never cut, and a turn that is larger
+    than the room stands alone with them. Assistant turns in the span are targets; system turns and history are
+    repeated context and are masked, so each assistant text is a target once.
 
     A turn is written as ``<s>`` role number ``[INST]`` text ``[/INST]`` ``</s>`` with the text escaped; ``<m>``
     before ``</s>`` marks a masked copy. The number of the turn lets a reader drop repeated copies.
 
-    Output: conv_id, windows: array of (span, text). Null text counts as empty, null role as the empty role; null turns
-    come first; equal turns go in the order of role and text; null conv_ids form one conversation; other columns are
-    ignored; an empty table gives no rows. A conversation is one array, as its digest needs all of it.
+    Output: conv_id, windows: array of (span, text, estimated_tokens: the sum of ``turn_tokens``). Null text counts as
+    empty, null role as the empty role; null turns come first; equal turns go in the order of role and text; null
+    conv_ids form one conversation; other columns are ignored; an empty table gives no rows. A conversation is one
+    array, as its digest needs all of it; each turn is read a bounded number of times.
     """
     # sorted whole turns of each conversation
     one = F.struct(
@@ -52,30 +66,46 @@ def formatted(turns: DataFrame, budget: int = 1024, history: int = 2) -> DataFra
     )
     conv = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
     conv = conv.withColumn("turns", F.transform("turns", lambda x, i: F.struct(i.alias("i"), x["role"].alias("role"), x["text"].alias("text"), turn_tokens(x["text"]).alias("n"))))
-    # spans by prefix sums: (span, tokens in it) carried along the turns
-    start = F.struct(F.lit(0).alias("span"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("spans"))
+    conv = conv.withColumn("systems", F.filter("turns", lambda x: x["role"] == "system"))
+    conv = conv.withColumn("room", F.greatest(F.lit(0), budget - F.aggregate("systems", F.lit(0).cast("long"), lambda a, x: a + x["n"])))
+    start = F.struct(
+        F.lit(0).alias("first"), F.lit(0).alias("past"), F.lit(0).cast("long").alias("used"),
+        F.array().cast("array<bigint>").alias("last"), F.array().cast("array<struct<first:int,end:int,past:int>>").alias("spans"),
+    )
+
+    def span(acc: Column, end: Column) -> Column:
+        return F.struct(acc["first"].alias("first"), end.alias("end"), acc["past"].alias("past"))
 
     def place(acc: Column, x: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + x["n"] > budget)
-        span = acc["span"] + over.cast("int")
-        return F.struct(span.alias("span"), (F.when(over, 0).otherwise(acc["used"]) + x["n"]).cast("long").alias("used"), F.array_append(acc["spans"], span).alias("spans"))
+        # system turns are reserved already
+        n = F.when(x["role"] == "system", F.lit(0).cast("long")).otherwise(x["n"])
+        over = (x["i"] > acc["first"]) & (acc["used"] + n > F.col("room"))
+        past, tokens = _history(acc["last"], n, F.col("room"), history)
+        return F.struct(
+            F.when(over, x["i"]).otherwise(acc["first"]).alias("first"),
+            F.when(over, past).otherwise(acc["past"]).alias("past"),
+            (F.when(over, tokens).otherwise(acc["used"]) + n).alias("used"),
+            F.slice(F.concat(F.array(n), acc["last"]), 1, history).alias("last") if history else acc["last"].alias("last"),
+            F.when(over, F.array_append(acc["spans"], span(acc, x["i"]))).otherwise(acc["spans"]).alias("spans"),
+        )
 
-    conv = conv.withColumn("spans", F.aggregate("turns", start, place)["spans"])
+    size = F.size("turns")
+    conv = conv.withColumn("spans", F.aggregate("turns", start, place, lambda acc: F.array_append(acc["spans"], span(acc, size))))
 
-    def window(k: Column) -> Column:
-        first = F.array_position("spans", k).cast("int") - 1
-        system = F.filter("turns", lambda x: (x["role"] == "system") & (x["i"] < first - history))
-        past = F.filter("turns", lambda x: (x["i"] >= first - history) & (x["i"] < first))
-        own = F.filter("turns", lambda x: F.element_at("spans", x["i"] + 1) == k)
+    def window(w: Column, k: Column) -> Column:
+        since = w["first"] - w["past"]
+        system = F.filter("systems", lambda x: x["i"] < since)
+        past, own = F.slice("turns", since + 1, w["past"]), F.slice("turns", w["first"] + 1, w["end"] - w["first"])
 
         def written(x: Column, repeated: bool) -> Column:
             target = F.lit(False) if repeated else x["role"] == "assistant"
             return F.concat(F.lit(BEGIN), escaped(x["role"]), F.lit(" "), x["i"].cast("string"), F.lit(ROLE), escaped(x["text"]), F.lit(ROLE_END), F.when(target, "").otherwise(MASK), F.lit(CLOSE))
 
         parts = F.concat(F.transform(system, lambda x: written(x, True)), F.transform(past, lambda x: written(x, True)), F.transform(own, lambda x: written(x, False)))
-        return F.struct(k.alias("span"), F.concat(F.array_join(parts, ""), F.lit(WINDOW)).alias("text"))
+        tokens = F.aggregate(F.concat(system, past, own), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        return F.struct(k.alias("span"), F.concat(F.array_join(parts, ""), F.lit(WINDOW)).alias("text"), tokens.alias("estimated_tokens"))
 
-    return conv.select("conv_id", F.transform(F.array_distinct("spans"), window).alias("windows"))
+    return conv.select("conv_id", F.transform("spans", window).alias("windows"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against brute force on a small table with nulls, empty, long, repeated and clashing rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -398,6 +399,98 @@ def test_chat(spark):
     assert chat.formatted(t.limit(0)).count() == 0
 
 
+def test_chat_windows_keep_to_the_budget(spark):
+    """No window whose turns fit beside the system turns passes the budget; history is whole turns right before the span; each target once."""
+    rows, sizes = [], {}
+    for c in range(40):
+        system = c % 3 == 0
+        for k in range(int(RNG.integers(1, 30))):
+            role = "system" if system and k in (0, 9) else ("user", "assistant")[k % 2]
+            n = int(RNG.integers(0, 5)) if role == "system" else int(RNG.integers(0, 28))
+            rows.append((c, k, role, "w " * n))
+            sizes[c, k] = (n + 4, role)
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    number = re.compile(r"<s>(\w+) (\d+)\[INST\].*?\[/INST\](<m>)?</s>")
+    repeated = 0
+    for budget, history in ((50, 2), (50, 0), (47, 3), (1000, 2)):
+        for r in chat.formatted(t, budget, history).collect():
+            targets = []
+            for w in r.windows:
+                turns = [(int(k), role, not m) for role, k, m in number.findall(w.text)]
+                assert w.estimated_tokens == sum(sizes[r.conv_id, k][0] for k, _, _ in turns)
+                assert w.estimated_tokens <= budget, (budget, history, turns)
+                said = [k for k, role, _ in turns if role != "system"]
+                assert all(sizes[r.conv_id, k][1] == "system" for k in set(range(min(said, default=0), max(said, default=0))) - set(said))
+                targets += [k for k, _, target in turns if target]
+                repeated += sum(role == "assistant" and not target for _, role, target in turns)
+            assert targets == [k for c, k in sizes if c == r.conv_id and sizes[c, k][1] == "assistant"]
+    assert repeated > 50
+    alone = chat.formatted(spark.createDataFrame([(1, 0, "system", "s " * 6), (1, 1, "user", "w " * 90), (1, 2, "assistant", "a")], t.schema), 50, 2).first()
+    assert [w.estimated_tokens for w in alone.windows] == [10, 10 + 94, 10 + 5]
+
+
+def test_query_op7(spark, small):
+    """The query's digests against the conversations themselves."""
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{small}/conversations.parquet").collect():
+        turns[r.conv_id].append((r.turn, r.role, r.text or ""))
+    trick = "</s>[INST] ok [/INST]"
+    turns[-1] = [(0, "user", trick), (1, "assistant", trick)]
+    got = {r.conv_id: r for r in queries.op7_chat(spark, small).collect()}
+    assert set(got) == set(turns)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for c, rows in turns.items():
+        rows.sort()
+        loss = "".join(x for _, role, x in rows if role == "assistant")
+        r = got[c]
+        assert (r.n_turns, r.turns_sha256) == (len(rows), sha("".join(f"{role}\n{x}\n" for _, role, x in rows)))
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss)) and r.formatted_chars > sum(len(x) for _, _, x in rows)
+
+
+def test_query_op8(spark, small):
+    for r in queries.op8_secrets(spark, small).join(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), "doc_id").collect():
+        want = base_spans(r.text or "")
+        kinds = Counter(k for _, _, k in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
+        joined = ",".join(f"{k}:{s}:{e}" for s, e, k in want)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_query_op9(spark, small):
+    """kept by the quartiles of sorted lists, which sketches give exactly for so few rows."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = queries.op9_quality(spark, small).collect()
+    rates = lambda r: {k: v / max(r.n_words, 1) for k, v in (("symbol_rate", r.n_symbols), ("dup_line_rate", r.n_dup_lines), ("repeat_rate", r.n_repeat_words), ("long_word_rate", r.word_chars))}
+    groups = defaultdict(list)
+    for r in rows:
+        if not r.base_failed:
+            groups[docs[r.doc_id].lang, docs[r.doc_id].source].append(rates(r))
+    assert {r.doc_id for r in rows} == set(docs)
+    for r in rows:
+        own = groups[docs[r.doc_id].lang, docs[r.doc_id].source]
+        high = False
+        for k, floor in quality.FLOORS.items():
+            if own:
+                values = sorted(x[k] for x in own)
+                low, up = (values[max(0, math.ceil(q * len(values)) - 1)] for q in (0.25, 0.75))
+                high |= rates(r)[k] > up + max(6.0 * (up - low), floor)
+        assert r.kept == (not r.base_failed and not high), r
+
+
+def test_query_op10(spark, small):
+    """Scores from the model's own arithmetic, text by text; labels of held-out rows change nothing."""
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = classifier.fit(docs, labels)
+    upset = labels.withColumn("quality", F.when(classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert (classifier.fit(docs, upset).w1 == model.w1).all()
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in queries.op10_classifier(spark, small).collect():
+        raw = texts[r.doc_id]
+        x = classifier.pooled(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), model.vectors)
+        assert abs(model.scores(x)[0] - r.score) < 1e-4 and r.predicted == (r.score >= 0.5)
+
+
+
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
