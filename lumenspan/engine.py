@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import graph, logs, rollup, storage, tree
 from .plans import language, logical
 from .schema import DEFAULTS, TABLES
+from .work import staged
 
 
 class TooManyRows(RuntimeError):
@@ -59,22 +60,50 @@ class Engine:
         timer = threading.Timer(seconds, sc.cancelJobGroup, [group])
         timer.start()
         try:
-            rows = df.collect()
+            return staged(df, "result")
         finally:
             timer.cancel()
             sc.setLocalProperty("spark.jobGroup.id", None)
-        return self.spark.createDataFrame(rows, df.schema)
 
     def estimated_rows(self, parsed: language.SelectQuery) -> int | None:
+        """Rows in the days of a query by the footers of these days' files; None where the table isn't a folder."""
         if "spans" in self.tables or self.root is None:
             return None
-        days = logical.prune_days(logical.build(parsed)).days
-        try:
-            per = storage.column_stats(self.spark, {"spans": f"{self.root}/spans"}).where("first")
-            day = F.regexp_extract("file", r"dt=(\d{4}-\d\d-\d\d)", 1)
-            return per.where(day.between(str(days[0]), str(days[1]))).agg(F.sum("rows")).first()[0] or 0
-        except Exception:  # an estimate that fails doesn't stop a query
+        first, last = logical.prune_days(logical.build(parsed)).days
+        days = [f"{self.root}/spans/dt={d}" for d in self._days("spans") if str(first) <= d <= str(last)]
+        return storage.estimated_rows(self.spark, days) if days else 0
+
+    def _days(self, table: str) -> list[str]:
+        """Days of which a table has a folder."""
+        if not self._there(table):
+            return []
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+        names = [f.getPath().getName() for f in at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+        return sorted(n[3:] for n in names if n.startswith("dt="))
+
+    #: Stored rollups and the level that each is made from.
+    ROLLUPS = {"red_1m": "spans", "red_5m": "red_1m", "red_1h": "red_5m", "service_edges": "spans"}
+
+    def roll_up(self, *days: str) -> None:
+        """Make the stored rollups of these days (all that spans have, if none are given) anew, each from the level below; the readers use them from then on."""
+        for name, below in self.ROLLUPS.items():
+            rows = storage.read(self.spark, f"{self.root}/spans", "spans") if below == "spans" else self.spark.read.parquet(f"{self.root}/{below}")
+            rows = rows.where(F.col("dt").isin(list(days))) if days else rows
+            if name == "service_edges":
+                made = graph.edge_states(tree.service_edges(rows))
+            else:
+                made = rollup.red_states(storage.distinct_rows(rows, "spans")) if below == "spans" else rollup.coarser(rows, name[4:])
+            made = storage.with_day(made.withColumn("ts_ns", F.col("bucket"))).drop("ts_ns")
+            made.repartition("dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(f"{self.root}/{name}")
+
+    def _rollup(self, name: str, since: int | None) -> DataFrame | None:
+        """A stored rollup from a time on, with only the days that it needs."""
+        if name in self.tables:
+            return self.tables[name]
+        if self.root is None or not self._there(name):
             return None
+        rows = self.spark.read.parquet(f"{self.root}/{name}")
+        return rows if since is None else rows.where(F.col("dt") >= F.lit(str(logical.date(1970, 1, 1) + timedelta(days=since // logical.DAY_NS))))
 
     def explain(self, text: str) -> dict[str, str]:
         return logical.explained(text, self.table("spans"), self.now)
@@ -88,20 +117,28 @@ class Engine:
     def trace_logs(self, trace_id: str) -> DataFrame:
         return logs.of_trace(self.table("logs"), trace_id)
 
-    def red_states(self, level: str = "1m") -> DataFrame:
+    def red_states(self, level: str = "1m", since: int | None = None) -> DataFrame:
         if level not in rollup.LEVELS:
             raise ValueError(f"unknown level {level!r}")
-        return self.tables.get(f"red_{level}") or rollup.red_states(storage.distinct_rows(self.table("spans"), "spans"), level)
+        stored = self._rollup(f"red_{level}", since)
+        return stored if stored is not None else rollup.red_states(storage.distinct_rows(self.table("spans"), "spans"), level)
 
     def red(self, level: str = "1m", service: str | None = None, operation: str | None = None, since: str = "1h") -> DataFrame:
-        return rollup.red(self.red_states(level), service, operation, self._since(since)).orderBy("bucket")
+        return rollup.red(self.red_states(level, self._since(since)), service, operation, self._since(since)).orderBy("bucket")
 
     def services(self) -> DataFrame:
-        return rollup.services(self.red_states("1h"), language._ns(self.now - timedelta(days=30)))
+        since = language._ns(self.now - timedelta(days=30))
+        return rollup.services(self.red_states("1h", since), since)
 
     def service_graph(self, window: str = "1h") -> dict[str, DataFrame]:
-        edges = tree.service_edges(storage.distinct_rows(self.table("spans").where(F.col("ts_ns") >= self._since(window)), "spans"))
-        made = graph.graph(graph.edge_states(edges))
+        """Edges, nodes, cycles and cut vertices of a window: from the stored rollup of edges by the minute, else from the spans."""
+        since = self._since(window)
+        states = self._rollup("service_edges", since)
+        if states is None:
+            states = graph.edge_states(tree.service_edges(self.table("spans").where(F.col("ts_ns") >= since)))
+        else:
+            states = states.where(F.col("bucket") >= since)
+        made = graph.graph(states)
         return {"edges": made, "nodes": graph.criticality(made), "cycles": graph.cycles(made), "cut_vertices": graph.cut_vertices(made)}
 
     def log_templates(self, since: str = "1h", limit: int = 0) -> DataFrame:

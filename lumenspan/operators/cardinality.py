@@ -44,16 +44,18 @@ def merged_estimates(*parts: DataFrame) -> DataFrame:
     return out.groupBy("key").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"))
 
 
-def guarded(spans: DataFrame, budgets: dict[str, Budget] = SHIPPED, default: Budget | None = None, column: str = "span_attributes", exact: bool = False) -> DataFrame:
+def guarded(spans: DataFrame, budgets: dict[str, Budget] = SHIPPED, default: Budget | None = None, column: str = "span_attributes", exact: bool = False, most_keys: int = DEFAULTS["tracked_keys"]) -> DataFrame:
     """Spans whose attributes above budget are dropped or put into buckets, and ``alerts``: the keys that are over and kept.
 
-    The keys over budget come from a first pass; there are no more of them than attribute names, and what is joined is one row.
+    The keys over budget come from a first pass. At most ``most_keys`` of them are guarded, those with the most values, as the
+    platform tracks no more; so what is joined is one row of bounded size.
     """
     default = default or Budget()
     table = F.create_map(*(x for k, b in budgets.items() for x in (F.lit(k), F.struct(F.lit(b.most).alias("most"), F.lit(b.action).alias("action"), F.lit(b.buckets).alias("buckets"))))) if budgets else None
     own = F.struct(F.lit(default.most).alias("most"), F.lit(default.action).alias("action"), F.lit(default.buckets).alias("buckets"))
     rule = F.coalesce(table[F.col("key")], own) if table is not None else own
     over = estimates(spans, column, exact).withColumn("rule", rule).where(F.col("distinct_values") > F.col("rule.most"))
+    over = over.orderBy(F.desc("distinct_values"), "key").limit(most_keys)
     over = over.agg(F.map_from_entries(F.collect_list(F.struct("key", "rule"))).alias("__over"))
     joined = spans.join(F.broadcast(over))
     action = lambda k: F.col("__over")[k]["action"]

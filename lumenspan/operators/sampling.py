@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import share_of
-from ..work import gathered
+from ..work import gathered, staged
 
 SALT = "sampling-decision:"
 
@@ -69,32 +69,37 @@ def within_rate(traces: DataFrame, per_second: float) -> DataFrame:
 
 
 def decide(spans: DataFrame, chain: tuple[Policy, ...] = SHIPPED) -> DataFrame:
-    """trace_id, sampled, policy and weight: the first policy that doesn't abstain decides; if all abstain, the trace is dropped."""
+    """trace_id, sampled, policy and weight: the first policy that doesn't abstain decides; if all abstain, the trace is dropped.
+
+    A policy sees only traces about which all before it abstained, so errors use up no tokens of a rate limit and slow
+    traces that are kept anyway don't move a rolling threshold. Tokens and windows go by the traces' own times.
+    """
     pairs = tuple((p.key, p.value) for p in chain if p.kind == "attribute")
-    traces = views(spans, pairs)
-    for p in chain:
-        if p.kind == "rolling_p99":
-            traces = rolling_p99(traces, p.window)
-        elif p.kind == "rate_limit":
-            traces = within_rate(traces, p.per_second)
     keep = lambda name, weight: F.struct(F.lit(True).alias("sampled"), F.lit(name).alias("policy"), F.lit(float(weight)).alias("weight"))
     drop = lambda name: F.struct(F.lit(False).alias("sampled"), F.lit(name).alias("policy"), F.lit(0.0).alias("weight"))
-    verdicts: list[Column] = []
+    traces = views(spans, pairs).withColumn("verdict", F.lit(None).cast("struct<sampled: boolean, policy: string, weight: double>"))
     for p in chain:
+        if p.kind in ("rolling_p99", "rate_limit"):
+            # the state is made of undecided traces alone
+            traces = staged(traces, "undecided")
+            left = traces.where("verdict IS NULL")
+            if p.kind == "rolling_p99":
+                seen = rolling_p99(left, p.window)
+                verdict = F.when((F.col("p99_ns") > 0) & (F.col("duration_ns") > F.col("p99_ns")), keep("rolling_p99", 1))
+            else:
+                seen, verdict = within_rate(left, p.per_second), F.when(~F.col("allowed"), drop("rate_limit"))
+            traces = traces.where("verdict IS NOT NULL").unionByName(seen.withColumn("verdict", verdict).select(*traces.columns))
+            continue
         if p.kind == "errors":
-            verdicts.append(F.when(F.col("has_error"), keep("errors", 1)))
+            verdict = F.when(F.col("has_error"), keep("errors", 1))
         elif p.kind == "slow":
-            verdicts.append(F.when(F.col("duration_ns") > p.threshold_ns, keep("slow", 1)))
-        elif p.kind == "rolling_p99":
-            verdicts.append(F.when((F.col("p99_ns") > 0) & (F.col("duration_ns") > F.col("p99_ns")), keep("rolling_p99", 1)))
+            verdict = F.when(F.col("duration_ns") > p.threshold_ns, keep("slow", 1))
         elif p.kind == "attribute":
-            verdicts.append(F.when(F.col(f"has_{pairs.index((p.key, p.value))}"), keep("attribute", 1)))
-        elif p.kind == "rate_limit":
-            verdicts.append(F.when(~F.col("allowed"), drop("rate_limit")))
+            verdict = F.when(F.col(f"has_{pairs.index((p.key, p.value))}"), keep("attribute", 1))
         else:
-            verdicts.append(F.when(chosen(F.col("trace_id"), p.rate), keep("probabilistic", 1 / p.rate if p.rate else 0)).otherwise(drop("probabilistic")))
-    out = traces.withColumn("__v", F.coalesce(*verdicts, drop("none")))
-    return out.select("trace_id", "__v.sampled", "__v.policy", "__v.weight")
+            verdict = F.when(chosen(F.col("trace_id"), p.rate), keep("probabilistic", 1 / p.rate if p.rate else 0)).otherwise(drop("probabilistic"))
+        traces = traces.withColumn("verdict", F.coalesce("verdict", verdict))
+    return traces.withColumn("verdict", F.coalesce("verdict", drop("none"))).select("trace_id", "verdict.sampled", "verdict.policy", "verdict.weight")
 
 
 def chosen(trace_id: Column, rate: float) -> Column:

@@ -141,7 +141,7 @@ def stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     )
 
 
-def column_stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+def column_stats(spark: SparkSession, paths: dict[str, str | list[str]]) -> DataFrame:
     """A row for each file, row group and column: rows and bytes, read by tasks from the files' footers."""
     import pyarrow as pa
 
@@ -172,8 +172,8 @@ def column_stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return listed.mapInArrow(footers, "table string, file string, column string, first boolean, rows long, compressed long, uncompressed long")
 
 
-def estimated_rows(spark: SparkSession, path: str) -> int:
-    """Rows of a table from its footers, without reading it."""
+def estimated_rows(spark: SparkSession, path: str | list[str]) -> int:
+    """Rows of a table, or of some of its folders, from their footers, without reading them."""
     return column_stats(spark, {"t": path}).where("first").agg(F.sum("rows")).first()[0] or 0
 
 

@@ -19,14 +19,16 @@ def distinct_spans(spans: DataFrame) -> DataFrame:
 
 
 def parent_links(spans: DataFrame) -> DataFrame:
-    """Each span with its parent's service, operation and id, by a join on trace and parent; roots and orphans have none."""
+    """Each span that has its parent in its trace, with the parent's service and operation. Spans delivered twice count once; roots and orphans are left out."""
+    spans = distinct_spans(spans)
     p = spans.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("service_name").alias("caller_service"), F.col("span_name").alias("caller_operation"))
     return spans.join(p, ["trace_id", "parent_span_id"], "inner")
 
 
 def service_edges(spans: DataFrame) -> DataFrame:
     """A row for each call from one service to another: parent and child of different services."""
-    links = parent_links(spans).where(F.col("caller_service") != F.col("service_name"))
+    needed = ("ts_ns", "trace_id", "span_id", "parent_span_id", "service_name", "span_name", "duration_ns", "status_code", "sampling_weight")
+    links = parent_links(spans.select(*needed)).where(F.col("caller_service") != F.col("service_name"))
     return links.select("ts_ns", "caller_service", F.col("service_name").alias("callee_service"), "duration_ns", (F.col("status_code") == "error").cast("int").alias("is_error"), "sampling_weight")
 
 
@@ -37,10 +39,10 @@ def orphans(spans: DataFrame) -> DataFrame:
 
 
 def summaries(spans: DataFrame) -> DataFrame:
-    """Per trace: spans, start, duration from the first start to the last end, and whether any span failed."""
+    """Per trace: spans (one delivered twice counts once), start, duration from the first start to the last end, and whether any span failed."""
     end = F.col("ts_ns") + F.col("duration_ns")
     return spans.groupBy("trace_id").agg(
-        F.count(F.lit(1)).alias("n_spans"), F.min("ts_ns").alias("start_ns"), (F.max(end) - F.min("ts_ns")).alias("duration_ns"), F.bool_or(F.col("status_code") == "error").alias("has_error")
+        F.count_distinct("span_id").alias("n_spans"), F.min("ts_ns").alias("start_ns"), (F.max(end) - F.min("ts_ns")).alias("duration_ns"), F.bool_or(F.col("status_code") == "error").alias("has_error")
     )
 
 
@@ -48,11 +50,12 @@ class Assembled:
     """A trace's tree: children by time, roots, orphans, depths, paths and the critical path."""
 
     def __init__(self, rows: list[tuple]):
-        # (ts, span, parent, service, operation, duration)
-        self.rows = sorted(rows, key=lambda r: (r[0], r[1]))
-        at = {}
-        for i, r in enumerate(self.rows):
-            at.setdefault(r[1], i)
+        # (ts, span, parent, service, operation, duration); of a span delivered twice the earliest row counts
+        first = {}
+        for r in sorted(rows, key=lambda r: (r[0], r[1])):
+            first.setdefault(r[1], r)
+        self.rows = list(first.values())
+        at = {r[1]: i for i, r in enumerate(self.rows)}
         self.children: list[list[int]] = [[] for _ in self.rows]
         self.roots, self.orphans = [], []
         for i, r in enumerate(self.rows):

@@ -11,9 +11,10 @@ from dataclasses import dataclass, replace
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.weighted import bin_of, float_bin, whole_weight
 from .language import Aggregate, Comparison, Matcher, SelectQuery, TraceQuery, parse
 
 #: Names of the language and their columns; any other name is an attribute.
@@ -195,7 +196,7 @@ def weight_of(value: Column | None = None) -> Column:
 
 
 def aggregated(a: Aggregate) -> Column:
-    """Weighted aggregates: each sampled span stands for 1/p spans; minimum and maximum are what was seen."""
+    """Weighted aggregates: each sampled span stands for 1/p spans; minimum and maximum are what was seen. Quantiles here are exact, and keep every distinct value of a group."""
     if a.function == "count":
         return F.sum("sampling_weight").alias(a.alias)
     x = number(a.name)
@@ -210,7 +211,62 @@ def aggregated(a: Aggregate) -> Column:
     return out.alias(a.alias)
 
 
-def lowered(plan: Plan, spans: DataFrame) -> DataFrame:
+def _binned(df: DataFrame, keys: list[str], field: str, aggregates: list[Aggregate], others: list[Aggregate]) -> DataFrame:
+    """Quantiles of a field, and other aggregates in the same pass: partial results by group and histogram bin, then a running sum of weights over the bins.
+
+    A quantile is the lower edge of the first bin that reaches its share of all weights, off by less than 1 in 512.
+    """
+    x = number(field)
+    bin_ = bin_of(x) if FIELDS.get(field) == "duration_ns" else float_bin(x.cast("double"))
+    # for each aggregate its partial columns and how they are merged
+    parts: dict[str, Column] = {}
+    merges: list[Column] = []
+    for a in others:
+        v, p = number(a.name) if a.name else None, a.alias
+        if a.function == "count":
+            parts[p], out = F.sum("sampling_weight"), F.sum(f"`{p}`")
+        elif a.function == "sum":
+            parts[p], out = F.sum(v * weight_of()), F.sum(f"`{p}`")
+        elif a.function == "avg":
+            parts[p], parts[f"{p} weight"] = F.sum(v * weight_of()), F.sum(weight_of(v))
+            out = F.sum(f"`{p}`") / F.sum(f"`{p} weight`")
+        else:
+            f = F.min if a.function == "min" else F.max
+            parts[p], out = f(v), f(f"`{p}`")
+        merges.append(out.alias(p))
+    weight = F.when(x.isNotNull(), F.greatest(whole_weight(F.col("sampling_weight")), F.lit(0)))
+    bins = df.withColumns({"a bin": bin_, "a weight": weight}).groupBy(*keys, "a bin").agg(F.sum("a weight").alias("a weight"), *(c.alias(n) for n, c in parts.items()))
+    group = Window.partitionBy(*keys)
+    bins = bins.withColumns({"all of it": F.sum("a weight").over(group), "up to it": F.sum("a weight").over(group.orderBy("a bin").rowsBetween(Window.unboundedPreceding, 0))})
+    found = [F.min(F.when((F.col("up to it") >= QUANTILES[a.function] * F.col("all of it")) & (F.col("a weight") > 0), F.col("a bin"))).cast("double").alias(a.alias) for a in aggregates]
+    return bins.groupBy(*keys).agg(*merges, *found)
+
+
+def grouped(df: DataFrame, plan: Plan, exact: bool) -> DataFrame:
+    """The aggregates of a plan by group. Quantiles come from mergeable histograms, one for each field, unless ``exact``."""
+    quantiles: dict[str, list[Aggregate]] = {}
+    for a in plan.aggregates:
+        if a.function in QUANTILES:
+            quantiles.setdefault(a.name, []).append(a)
+    keys = list(plan.by)
+    if exact or not quantiles:
+        return df.groupBy(*(operand(n).alias(n) for n in keys)).agg(*map(aggregated, plan.aggregates))
+    # names of the language that are columns, too, must not be taken for these
+    named = [f"by {i}" for i in range(len(keys))]
+    df = df.withColumns({k: operand(n) for k, n in zip(named, keys, strict=True)}) if keys else df
+    others, out = [a for a in plan.aggregates if a.function not in QUANTILES], None
+    for field, own in quantiles.items():
+        one = _binned(df, named, field, list(dict.fromkeys(own)), list(dict.fromkeys(others)) if out is None else [])
+        if out is None:
+            out = one
+            continue
+        right = one.select(*(F.col(k).alias(f"same {k}") for k in named), *(f"`{a.alias}`" for a in dict.fromkeys(own)))
+        same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"same {k}")) for k in named), F.lit(True))
+        out = out.join(right, same) if named else out.crossJoin(right)  # without groups, both have one row
+    return out.select(*(F.col(k).alias(n) for k, n in zip(named, keys, strict=True)), *(F.col(f"`{a.alias}`") for a in plan.aggregates))
+
+
+def lowered(plan: Plan, spans: DataFrame, exact: bool = False) -> DataFrame:
     """The DataFrame of a plan over a table of spans; ``dt``, if the table has it, is its day partition."""
     df = spans
     if plan.days and "dt" in df.columns:
@@ -221,19 +277,19 @@ def lowered(plan: Plan, spans: DataFrame) -> DataFrame:
     if plan.columns:
         df = df.select(*plan.columns)
     if plan.aggregates:
-        df = df.groupBy(*(operand(n).alias(n) for n in plan.by)).agg(*map(aggregated, plan.aggregates))
+        df = grouped(df, plan, exact)
     if plan.sort:
         key = (lambda n: F.col(f"`{n}`")) if plan.aggregates else operand
         df = df.orderBy(*(key(n).desc_nulls_last() if down else key(n).asc_nulls_last() for n, down in plan.sort))
     return df if plan.limit is None else df.limit(plan.limit)
 
 
-def run(text: str, spans: DataFrame, now=None, without: tuple[str, ...] = ()) -> DataFrame:
-    """The result of a query text over a table of spans."""
+def run(text: str, spans: DataFrame, now=None, without: tuple[str, ...] = (), exact: bool = False) -> DataFrame:
+    """The result of a query text over a table of spans. ``exact`` asks for quantiles of the values themselves instead of mergeable histograms."""
     query = parse(text, now)
     if isinstance(query, TraceQuery):
         return trace(spans, query.trace_id)
-    return lowered(optimized(build(query), without), spans)
+    return lowered(optimized(build(query), without), spans, exact)
 
 
 def trace(spans: DataFrame, trace_id: str) -> DataFrame:

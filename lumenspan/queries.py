@@ -33,10 +33,13 @@ def query(sql: str | None = None):
     return add
 
 
-def _dsl(name: str, text: str, sql: str, cast: dict[str, str] | None = None) -> None:
+_BIN = "(({v} >> greatest(0, length(bin({v})) - 10)) << greatest(0, length(bin({v})) - 10))"
+
+
+def _dsl(name: str, text: str, sql: str, cast: dict[str, str] | None = None, exact: bool = False) -> None:
     """A query of the language; ``cast`` gives columns that are rounded or renamed."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = logical.run(text, fixtures.spans(spark, sf_dir), NOW)
+        out = logical.run(text, fixtures.spans(spark, sf_dir), NOW, exact=exact)
         return out.selectExpr(*(f"{e} AS {n}" for n, e in cast.items())) if cast else out
 
     run.__name__, run.__doc__ = name, text
@@ -47,13 +50,18 @@ _RANGE = "ts_ns >= 1704067200000000000 AND ts_ns < 1706659200000000000"
 _WP = "CAST(quantile_cont(duration_ns, {q}) AS DOUBLE)"
 _EXPANDED = f"""x AS (SELECT s.*, CAST(sampling_weight AS BIGINT) AS w FROM spans s WHERE {_RANGE}), e AS (SELECT x.* FROM x, range(20) r(i) WHERE i < w)"""
 
+#: Groups of x with the running weight over the bins of durations, as the mergeable quantiles have it.
+_RANKED = f"""b AS (SELECT *, {_BIN.format(v='duration_ns')} AS bin FROM x), r AS (SELECT *, sum(w) OVER (PARTITION BY {{by}} ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY {{by}}) AS total FROM b)"""
+_WEIGHED = f"x AS (SELECT s.*, CAST(sampling_weight AS BIGINT) AS w FROM spans s WHERE {_RANGE} {{where}})"
+_AT = "CAST(min(bin) FILTER (upto >= {q} * total) AS DOUBLE)"
+
 _dsl(
     "dsl_flagship",
     f"{{status=error}} {MONTH} | duration > 5ms | count, p95(duration) by (service, operation) | sort by (count desc, service, operation) | limit 10",
-    f""", {_EXPANDED}
-    SELECT service_name AS service, span_name AS operation, sum(w)::DOUBLE AS count, round({_WP.format(q=0.95)}, 3) AS p95_duration FROM e
-    WHERE status_code = 'error' AND duration_ns > 5000000 GROUP BY ALL ORDER BY sum(w) / any_value(w) DESC, service, operation LIMIT 10""".replace("sum(w)::DOUBLE", "count(*)::DOUBLE").replace("sum(w) / any_value(w)", "count(*)"),
-    {"service": "service", "operation": "operation", "count": "`count`", "p95_duration": "round(p95_duration, 3)"},
+    f""", {_WEIGHED.format(where="AND status_code = 'error' AND duration_ns > 5000000")}, {_RANKED.format(by='service_name, span_name')}
+    SELECT service_name AS service, span_name AS operation, sum(sampling_weight) AS count, {_AT.format(q=0.95)} AS p95_duration FROM r
+    GROUP BY ALL ORDER BY count DESC, service, operation LIMIT 10""",
+    {"service": "service", "operation": "operation", "count": "`count`", "p95_duration": "p95_duration"},
 )
 _ID = {"ts_ns": "ts_ns", "span_id": "span_id", "service_name": "service_name", "span_name": "span_name", "duration_ns": "duration_ns"}
 _IDS = "SELECT ts_ns, span_id, service_name, span_name, duration_ns FROM spans"
@@ -65,15 +73,28 @@ _dsl("dsl_numeric_ops", f"{{}} {MONTH} | duration >= 2ms | duration < 1h30m | k
 _dsl("dsl_attr_fallback_groupby", f'{{user.id=~"^1"}} {MONTH} | count by (user.id, deployment.environment)',
      f"SELECT user_id, 'test' AS environment, sum(sampling_weight) AS count FROM spans WHERE {_RANGE} AND regexp_matches(user_id, '^1') GROUP BY ALL", {"user_id": "`user.id`", "environment": "`deployment.environment`", "count": "`count`"})
 _dsl("dsl_all_aggs", f"{{}} {MONTH} | count, sum(duration), avg(duration), min(duration), max(duration), p50(duration), p95(duration), p99(duration) by (operation)",
+     f""", {_WEIGHED.format(where="")}, {_RANKED.format(by='span_name')}
+     SELECT span_name AS operation, sum(sampling_weight) AS count, CAST(sum(duration_ns * w) AS BIGINT) AS total, round(sum(duration_ns * w)::DOUBLE / sum(w), 3) AS mean, min(duration_ns) AS least, max(duration_ns) AS greatest,
+       {_AT.format(q=0.5)} AS p50, {_AT.format(q=0.95)} AS p95, {_AT.format(q=0.99)} AS p99 FROM r GROUP BY ALL""",
+     {"operation": "operation", "count": "`count`", "total": "CAST(sum_duration AS BIGINT)", "mean": "round(avg_duration, 3)", "least": "min_duration", "greatest": "max_duration", "p50": "p50_duration", "p95": "p95_duration", "p99": "p99_duration"})
+_dsl("dsl_exact_quantiles", f"{{}} {MONTH} | count, sum(duration), avg(duration), min(duration), max(duration), p50(duration), p95(duration), p99(duration) by (operation)",
      f""", {_EXPANDED}, q AS (SELECT span_name, {_WP.format(q=0.5)} AS p50, {_WP.format(q=0.95)} AS p95, {_WP.format(q=0.99)} AS p99 FROM e GROUP BY ALL)
      SELECT span_name AS operation, sum(sampling_weight) AS count, CAST(sum(duration_ns * w) AS BIGINT) AS total, round(sum(duration_ns * w)::DOUBLE / sum(w), 3) AS mean, min(duration_ns) AS least, max(duration_ns) AS greatest,
        round(any_value(p50), 3) AS p50, round(any_value(p95), 3) AS p95, round(any_value(p99), 3) AS p99 FROM x JOIN q USING (span_name) GROUP BY ALL""",
-     {"operation": "operation", "count": "`count`", "total": "CAST(sum_duration AS BIGINT)", "mean": "round(avg_duration, 3)", "least": "min_duration", "greatest": "max_duration", "p50": "round(p50_duration, 3)", "p95": "round(p95_duration, 3)", "p99": "round(p99_duration, 3)"})
+     {"operation": "operation", "count": "`count`", "total": "CAST(sum_duration AS BIGINT)", "mean": "round(avg_duration, 3)", "least": "min_duration", "greatest": "max_duration", "p50": "round(p50_duration, 3)", "p95": "round(p95_duration, 3)", "p99": "round(p99_duration, 3)"}, exact=True)
 _dsl("dsl_global_agg", f"{{}} {MONTH} | count, max(k), avg(k)",
      f"SELECT sum(sampling_weight) AS count, max(TRY_CAST(k AS DOUBLE)) AS most, round(sum(TRY_CAST(k AS DOUBLE) * sampling_weight) / sum(CASE WHEN TRY_CAST(k AS DOUBLE) IS NOT NULL THEN sampling_weight END), 6) AS mean FROM spans WHERE {_RANGE}", {"count": "`count`", "most": "max_k", "mean": "round(avg_k, 6)"})
 _dsl("dsl_contradiction_empty", f'{{service="svc-1"}} {MONTH} | duration > 500ms | duration < 300ms', f"{_IDS} WHERE false", _ID)
-_dsl("dsl_partition_prune", '{} range("2024-01-10T06:00:00Z", "2024-01-11T18:00:00Z") | count by (service)',
-     "SELECT service_name AS service, sum(sampling_weight) AS count FROM spans WHERE ts_ns >= 1704866400000000000 AND ts_ns < 1704996000000000000 GROUP BY ALL")
+
+
+@query(f"WITH {SPANS_SQL} SELECT service_name AS service, sum(sampling_weight) AS count FROM spans WHERE ts_ns >= 1704866400000000000 AND ts_ns < 1704996000000000000 GROUP BY ALL")
+def dsl_partition_prune(spark, sf_dir):
+    """A day and a half of a table with a folder per day: only the two days' folders are read."""
+    path = new_folder(spark, "spans")
+    storage.write(fixtures.spans(spark, sf_dir), path, "spans")
+    return logical.run('{} range("2024-01-10T06:00:00Z", "2024-01-11T18:00:00Z") | count by (service)', spark.read.parquet(path), NOW)
+
+
 _dsl("dsl_since", "{status!=error} since 36h", f"{_IDS} WHERE status_code <> 'error' AND ts_ns >= 1706529600000000000 AND ts_ns < 1706659200000000000", _ID)
 _dsl("dsl_topk", f"{{}} {MONTH} | sort by (duration desc, span_id) | limit 25", f"{_IDS} WHERE {_RANGE} ORDER BY duration_ns DESC, span_id LIMIT 25", _ID)
 
@@ -89,7 +110,7 @@ def trace_summary(spark, sf_dir):
     return tree.summaries(fixtures.trees(spark, sf_dir))
 
 
-@query(f"WITH {TREES_SQL} SELECT trace_id, span_id, parent_span_id FROM tree c WHERE parent_span_id <> '0000000000000000' AND NOT EXISTS (SELECT 1 FROM tree p WHERE p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)")
+@query(f"WITH {TREES_SQL.replace('tree AS (', 'tree AS MATERIALIZED (')} SELECT trace_id, span_id, parent_span_id FROM tree c WHERE parent_span_id <> '0000000000000000' AND NOT EXISTS (SELECT 1 FROM tree p WHERE p.trace_id = c.trace_id AND p.span_id = c.parent_span_id)")
 def trace_orphans(spark, sf_dir):
     return tree.orphans(fixtures.trees(spark, sf_dir)).select("trace_id", "span_id", "parent_span_id")
 
@@ -117,8 +138,7 @@ def flamegraph_merge(spark, sf_dir):
     return tree.flamegraph(fixtures.trees(spark, sf_dir), operation="line-4")
 
 
-_EDGES = f"{TREES_SQL}, edges AS (SELECT c.ts_ns, p.service_name AS caller_service, c.service_name AS callee_service, c.duration_ns, CASE WHEN c.status_code = 'error' THEN 1 ELSE 0 END AS is_error, c.sampling_weight FROM tree c JOIN tree p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id AND p.service_name <> c.service_name)"
-_BIN = "(({v} >> greatest(0, length(bin({v})) - 10)) << greatest(0, length(bin({v})) - 10))"
+_EDGES = f"{TREES_SQL.replace('tree AS (', 'tree AS MATERIALIZED (')}, edges AS (SELECT c.ts_ns, p.service_name AS caller_service, c.service_name AS callee_service, c.duration_ns, CASE WHEN c.status_code = 'error' THEN 1 ELSE 0 END AS is_error, c.sampling_weight FROM tree c JOIN tree p ON p.trace_id = c.trace_id AND p.span_id = c.parent_span_id AND p.service_name <> c.service_name)"
 
 
 @query(f"WITH {_EDGES} SELECT ts_ns, caller_service, callee_service, duration_ns, CAST(is_error AS INTEGER) AS is_error, sampling_weight FROM edges")
@@ -146,9 +166,25 @@ def graph_cycles(spark, sf_dir):
     return graph.services_on_cycles(tree.service_edges(fixtures.trees(spark, sf_dir)))
 
 
-@query()
+_LEAVES = ("svc-0", "svc-1", "svc-2")
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, d AS (SELECT DISTINCT caller_service AS x, callee_service AS y FROM edges UNION SELECT s, 'db-' || s FROM (VALUES ('svc-0'), ('svc-1'), ('svc-2')) t(s)),
+u AS (SELECT x, y FROM d UNION SELECT y, x FROM d), n AS (SELECT DISTINCT x AS v FROM u),
+reach AS (SELECT n.v AS without, (SELECT min(m.v) FROM n m WHERE m.v <> n.v) AS v FROM n UNION SELECT r.without, u.y FROM reach r JOIN u ON u.x = r.v AND u.y <> r.without)
+SELECT without AS service FROM reach GROUP BY without HAVING count(*) < (SELECT count(*) - 1 FROM n)""")
 def graph_cut_vertices(spark, sf_dir):
-    return graph.cut_vertices(tree.service_edges(fixtures.trees(spark, sf_dir)))
+    """Three of the services have a store of their own, which is reached through them alone."""
+    edges = tree.service_edges(fixtures.trees(spark, sf_dir)).select("caller_service", "callee_service")
+    own = spark.createDataFrame([(s, f"db-{s}") for s in _LEAVES], edges.schema)
+    return graph.cut_vertices(edges.unionByName(own))
+
+
+@query(SQL["service_graph"])
+def service_graph_redelivered(spark, sf_dir):
+    """The service graph of spans that were all delivered twice."""
+    spans = fixtures.trees(spark, sf_dir)
+    return graph.graph(graph.edge_states(tree.service_edges(spans.unionByName(spans))))
 
 
 def _red_sql(seconds: int) -> str:
@@ -208,7 +244,7 @@ def log_instances(spark, sf_dir):
     parsed = logs.with_templates(fixtures.logs(spark, sf_dir))
     words = F.col("template_text").startswith("event click by")
     picked = logs.dictionary(parsed).where(words).select("template_id")
-    found = parsed.join(F.broadcast(picked), "template_id", "left_semi")
+    found = parsed.join(picked, "template_id", "left_semi")
     return logs.blank_ids(found).orderBy(F.desc("ts_ns"), "span_id").limit(100).select("ts_ns", "span_id", "body")
 
 
@@ -219,9 +255,20 @@ def trace_logs(spark, sf_dir):
     return logs.of_trace(fixtures.logs(spark, sf_dir), hashlib.md5(b"7").hexdigest()).select("ts_ns", "trace_id", "span_id", "body")
 
 
-@query(f"WITH {LOGS_SQL}, n AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts_ns, trace_id, span_id, body) AS k, strlen(body) AS raw, string_split(body, ' ') AS t FROM logs) SELECT count(*) AS n_lines, CAST(sum(raw) AS BIGINT) AS raw_bytes FROM n")
+#: Lines with their words, and which of the words at places 5, 7 and 9 the template has widened by then.
+_WIDENED = f"""{LOGS_SQL}, n AS (SELECT *, string_split(body, ' ') AS t FROM logs),
+w AS (SELECT *, first_value(t) OVER o AS f FROM n WINDOW o AS (PARTITION BY event_type ORDER BY ts_ns, trace_id, span_id, body)),
+p AS (SELECT *, bool_or(t[5] <> f[5]) OVER o AS a, bool_or(t[7] <> f[7]) OVER o AS b, bool_or(t[9] <> f[9]) OVER o AS c FROM w WINDOW o AS (PARTITION BY event_type ORDER BY ts_ns, trace_id, span_id, body ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"WITH {_WIDENED} SELECT count(*) AS n_lines, CAST(sum(strlen(body)) AS BIGINT) AS raw_bytes, CAST(sum(4 + CASE WHEN a THEN strlen(t[5]) + 1 ELSE 0 END + CASE WHEN b THEN strlen(t[7]) + 1 ELSE 0 END + CASE WHEN c THEN strlen(t[9]) + 1 ELSE 0 END) AS BIGINT) AS templated_bytes FROM p")
 def log_savings(spark, sf_dir):
-    return logs.savings(logs.with_templates(fixtures.logs(spark, sf_dir))).select("n_lines", "raw_bytes")
+    return logs.savings(logs.with_templates(fixtures.logs(spark, sf_dir)))
+
+
+@query(f"WITH {_WIDENED} SELECT ts_ns, span_id, concat_ws('|', CASE WHEN a THEN t[5] END, CASE WHEN b THEN t[7] END, CASE WHEN c THEN t[9] END) AS params FROM p")
+def log_params(spark, sf_dir):
+    return logs.with_templates(fixtures.logs(spark, sf_dir)).select("ts_ns", "span_id", F.array_join("params", "|").alias("params"))
 
 
 _CHAIN = (sampling.Policy("errors"), sampling.Policy("slow", threshold_ns=110_000_000), sampling.Policy("probabilistic", rate=0.05))
@@ -250,10 +297,31 @@ def sampling_rolling_p99(spark, sf_dir):
     return sampling.rolling_p99(sampling.views(one)).select("trace_id", F.coalesce("p99_ns", F.lit(-1)).cast("long").alias("p99_ns"))
 
 
-@query()
+def _bucket_sql(rows: str, per_second: float) -> str:
+    """A token bucket per service over ``rows`` (trace_id, service_name, start_ns), one row after the other."""
+    return f"""lined AS (SELECT *, row_number() OVER (PARTITION BY service_name ORDER BY start_ns, trace_id) AS k FROM {rows}),
+bucket AS (SELECT service_name, k, trace_id, start_ns, CAST({per_second} - 1 AS DOUBLE) AS rest, true AS allowed FROM lined WHERE k = 1
+  UNION ALL SELECT l.service_name, l.k, l.trace_id, l.start_ns, least({per_second}::DOUBLE, b.rest + (l.start_ns - b.start_ns) / 1e9 * {per_second}) - CASE WHEN least({per_second}::DOUBLE, b.rest + (l.start_ns - b.start_ns) / 1e9 * {per_second}) >= 1 THEN 1 ELSE 0 END,
+    least({per_second}::DOUBLE, b.rest + (l.start_ns - b.start_ns) / 1e9 * {per_second}) >= 1 FROM bucket b JOIN lined l ON l.service_name = b.service_name AND l.k = b.k + 1)"""
+
+
+@query(f"""WITH RECURSIVE {SPANS_SQL}, one AS (SELECT span_id AS trace_id, service_name, ts_ns // 1000 AS start_ns FROM spans), {_bucket_sql('one', 1.5)} SELECT trace_id, service_name, allowed FROM bucket""")
 def sampling_rate_limit(spark, sf_dir):
-    one = fixtures.spans(spark, sf_dir).withColumn("trace_id", F.col("span_id"))
-    return sampling.within_rate(sampling.views(one), 0.001).select("trace_id", "service_name", "allowed")
+    """Each span as a trace of its own, a thousand times as dense as it was, so that the limit is passed."""
+    one = fixtures.spans(spark, sf_dir).withColumns({"trace_id": F.col("span_id"), "ts_ns": F.floor(F.col("ts_ns") / 1000).cast("long")})
+    return sampling.within_rate(sampling.views(one), 1.5).select("trace_id", "service_name", "allowed")
+
+
+@query(f"""WITH RECURSIVE {SPANS_SQL}, one AS (SELECT span_id AS trace_id, service_name, ts_ns // 1000 AS start_ns, duration_ns, status_code FROM spans),
+first AS (SELECT *, CASE WHEN status_code = 'error' THEN 'errors' WHEN duration_ns > 20000000 THEN 'slow' END AS policy FROM one), left_ AS (SELECT * FROM first WHERE policy IS NULL), {_bucket_sql('left_', 1.5)},
+last AS (SELECT trace_id, allowed, CAST('0x' || substr(md5('sampling-decision:' || trace_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.25 AS chosen FROM bucket)
+SELECT f.trace_id, coalesce(policy, CASE WHEN allowed THEN 'probabilistic' ELSE 'rate_limit' END) AS policy, policy IS NOT NULL OR allowed AND chosen AS sampled, CAST(CASE WHEN policy IS NOT NULL THEN 1 WHEN allowed AND chosen THEN 4 ELSE 0 END AS DOUBLE) AS weight
+FROM first f LEFT JOIN last USING (trace_id)""")
+def sampling_chain(spark, sf_dir):
+    """A rate limit behind errors and slow traces, which use up none of its tokens."""
+    one = fixtures.spans(spark, sf_dir).withColumns({"trace_id": F.col("span_id"), "ts_ns": F.floor(F.col("ts_ns") / 1000).cast("long")})
+    chain = (sampling.Policy("errors"), sampling.Policy("slow", threshold_ns=20_000_000), sampling.Policy("rate_limit", per_second=1.5), sampling.Policy("probabilistic", rate=0.25))
+    return sampling.decide(one, chain).select("trace_id", "policy", "sampled", "weight")
 
 
 @query(f"WITH {SPANS_SQL} SELECT 'k' AS key, count(DISTINCT k) AS distinct_values FROM spans UNION ALL SELECT 'event.type', count(DISTINCT span_name) FROM spans")
@@ -261,11 +329,14 @@ def cardinality_exact(spark, sf_dir):
     return cardinality.estimates(fixtures.spans(spark, sf_dir), exact=True)
 
 
-@query()
+@query(f"WITH {SPANS_SQL} SELECT 'k' AS key, count(DISTINCT k) AS distinct_values, true AS near FROM spans UNION ALL SELECT 'event.type', count(DISTINCT span_name), true FROM spans")
 def cardinality_estimate(spark, sf_dir):
+    """Merged sketches of two halves, each estimate within 3 % of the count beside it."""
     spans = fixtures.spans(spark, sf_dir)
     even = F.pmod(F.xxhash64("span_id"), F.lit(2)) == 0
-    return cardinality.merged_estimates(cardinality.sketches(spans.where(even)), cardinality.sketches(spans.where(~even)))
+    merged = cardinality.merged_estimates(cardinality.sketches(spans.where(even)), cardinality.sketches(spans.where(~even))).withColumnRenamed("distinct_values", "estimate")
+    both = cardinality.estimates(spans, exact=True).join(merged, "key")
+    return both.select("key", "distinct_values", (F.abs(F.col("estimate") - F.col("distinct_values")) <= F.col("distinct_values") * 0.03).alias("near"))
 
 
 @query(f"WITH {SPANS_SQL} SELECT span_id, span_name AS event_type, CAST(NULL AS VARCHAR) AS k FROM spans")
@@ -359,6 +430,11 @@ def events_nested_roundtrip(spark, sf_dir):
     return back.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.min("ts_ns").alias("first_ns"), F.count_distinct("name").alias("n_names"))
 
 
+@query("SELECT 'events' AS \"table\", count(*) AS n_rows FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem")
+def storage_rows(spark, sf_dir):
+    return storage_stats(spark, sf_dir).select("table", "n_rows")
+
+
 @query()
 def storage_stats(spark, sf_dir):
     return storage.stats(spark, {t: f"{sf_dir}/{t}.parquet" for t in ("events", "orders", "lineitem")})
@@ -372,8 +448,7 @@ def storage_top_columns(spark, sf_dir):
 
 @query(f"WITH {SPANS_SQL}, s AS (SELECT service_name, list_sort(list(duration_ns)) AS d FROM spans GROUP BY ALL) SELECT service_name, d[1 + CAST(floor(0.5 * (len(d) - 1)) AS BIGINT)] AS p50, d[1 + CAST(floor(0.99 * (len(d) - 1)) AS BIGINT)] AS p99 FROM s")
 def export_latency(spark, sf_dir):
-    per = fixtures.spans(spark, sf_dir).groupBy("service_name").agg(F.collect_list("duration_ns").alias("d"))
-    return per.select("service_name", weighted.at_index(F.col("d"), 0.5).alias("p50"), weighted.at_index(F.col("d"), 0.99).alias("p99"))
+    return weighted.at_index(fixtures.spans(spark, sf_dir), ["service_name"], "duration_ns", {"p50": 0.5, "p99": 0.99})
 
 
 @query(f"WITH {SPANS_SQL} SELECT ts_ns, trace_id, span_id, service_name, span_name, duration_ns, status_code, k FROM spans")
@@ -387,7 +462,8 @@ def decode_spans(spark, sf_dir):
         (F.col("ts_ns") + F.col("duration_ns")).cast("string").alias("endTimeUnixNano"), F.array(pair("k", F.col("span_attributes")["k"])).alias("attributes"),
         F.struct(F.when(F.col("status_code") == "error", 2).otherwise(1).alias("code")).alias("status"),
     )
-    requests = s.groupBy("service_name").agg(F.collect_list(one).alias("spans")).select(
+    # a request holds a few hundred spans, as exporters send them
+    requests = s.groupBy("service_name", F.floor(F.col("ts_ns") / 3_600_000_000_000)).agg(F.collect_list(one).alias("spans")).select(
         F.to_json(F.struct(F.array(F.struct(F.struct(F.array(pair("service.name", F.col("service_name"))).alias("attributes")).alias("resource"), F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))).alias("value")
     )
     back = otlp.spans(requests)

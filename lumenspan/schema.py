@@ -53,5 +53,5 @@ DEFAULTS = {
     "query_timeout_s": 30, "max_rows_scanned": 50_000_000, "alert_interval_s": 60, "decision_wait_ms": 5_000, "decided_ttl_ms": 300_000,
     "drain_depth": 4, "drain_similarity": 0.6, "drain_children": 100, "drain_templates": 10_000, "drain_clusters_per_leaf": 200,
     "kafka_partitions": 12, "window": 32, "min_samples": 8, "trigger": 3.0, "clear": 1.5, "consecutive": 2, "cooldown_s": 600,
-    "cardinality_budget": 10_000, "cardinality_buckets": 256, "templates_limit": 200, "instances_limit": 100, "max_traces": 50_000,
+    "cardinality_budget": 10_000, "cardinality_buckets": 256, "tracked_keys": 10_000, "templates_limit": 200, "instances_limit": 100, "max_traces": 50_000,
 }

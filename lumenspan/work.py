@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or an own folder where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir. In local mode, where all is one process, an own folder if it is unset; an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: it names the folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lumenspan-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

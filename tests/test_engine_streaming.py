@@ -32,6 +32,34 @@ def test_engine(spark, tmp_path):
         e.red("7m")
 
 
+def test_stored_rollups_answer_like_spans(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    spans = generators.traces(spark, 150)
+    storage.write(spans, f"{root}/spans", "spans")
+    storage.write(spans.limit(100), f"{root}/spans", "spans")  # some are delivered again
+    e = Engine(spark, root, now=datetime(2024, 1, 1, 0, 10, tzinfo=timezone.utc))
+    ask = lambda: [sorted(map(tuple, x.collect())) for x in (e.red("1m"), e.red("5m"), e.red("1h"), e.services(), e.service_graph("1h")["edges"])]
+    before = ask()
+    assert before[0] == sorted(map(tuple, rollup.red(rollup.red_states(spans)).collect()))
+    e.roll_up()
+    files = lambda df: "".join(df.inputFiles())
+    assert "/red_5m/dt=2024" in files(e.red("5m")) and "/service_edges/dt=2024" in files(e.service_graph("1h")["edges"])
+    assert ask()[0] == before[0] and [len(x) for x in ask()] == [len(x) for x in before] and ask()[3:] == before[3:]
+    first = e.red("1h").collect()
+    e.roll_up("2024-01-01")
+    assert e.red("1h").collect() == first
+
+
+def test_policies_see_only_what_is_undecided(spark):
+    """Ten failed traces in the same second use up no tokens of the two that a rate limit gives to the others."""
+    rows = [(f"{i:032x}", f"{i:016x}", "0" * 16, "svc", 1_000_000 * i, 5, "error" if i < 10 else "ok", 1.0) for i in range(14)]
+    spans = spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, service_name string, ts_ns long, duration_ns long, status_code string, sampling_weight double")
+    spans = spans.withColumns({"span_attributes": F.create_map(F.lit("a"), F.lit("b")), "resource_attributes": F.create_map(F.lit("a"), F.lit("b"))})
+    chain = (sampling.Policy("errors"), sampling.Policy("rate_limit", per_second=2.0), sampling.Policy("probabilistic", rate=1.0))
+    out = {r.trace_id: (r.policy, r.sampled) for r in sampling.decide(spans, chain).collect()}
+    assert [out[f"{i:032x}"] for i in range(14)] == [("errors", True)] * 10 + [("probabilistic", True)] * 2 + [("rate_limit", False)] * 2
+
+
 def test_engine_logs(spark, small):
     e = Engine(spark, tables={"logs": fixtures.logs(spark, small)}, now=datetime(2024, 1, 31, tzinfo=timezone.utc))
     top = e.log_templates("720h")
