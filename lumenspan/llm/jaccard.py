@@ -28,7 +28,7 @@ from .base import bounded_batches, cleared, fresh, mixed, release_shuffles, remo
 from .components import Forest, components, spanning
 
 #: Keys of parts that a task of step 2 takes, bytes of sets in a slice of a block, and documents in a tree's leaf.
-MEET, SLICE_BYTES, LEAF = 1_500_000, 8 << 20, 8
+MEET, SLICE_BYTES, LEAF = 1_500_000, 256 << 10, 8
 #: Sets with one part from which it is split, keys that a task holds before it looks for such parts, and pivots of a block.
 HOT, HELD, PIVOTS = 20_000, 4_000_000, 8
 #: Most elements in which two sets differ in the block in which they meet, and re-cuts of a block with too many empty parts.

@@ -9,12 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import bounded_batches, cleared, mixed, powers, prefix_hash, staged, steps, utf8, word_spans
+from .base import SPACE, bounded_batches, cleared, mixed, span_hashes, staged, steps, utf8, word_spans
 
 METRICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-_SYMBOL = np.zeros(256, np.int64)
-_SYMBOL[list(b"#*$%&|<>")] = 1
-_LEADS = (np.arange(256) & 0xC0) != 0x80
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[list(b"#*$%&|<>")] = True
+#: Bytes that begin a character of a word.
+_LEADS = ((np.arange(256) & 0xC0) != 0x80) & ~SPACE
+
+
+def _counted(flag: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many bytes of each document have the flag; a document alone, which may be long, without sums at every byte."""
+    if len(offsets) == 2:
+        return np.array([np.count_nonzero(flag)])
+    sums = np.concatenate([[0], np.cumsum(flag)])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
 def measured(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -26,12 +35,7 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     s, e = word_spans(data, offsets)
     at = np.searchsorted(s, offsets)
     words = np.diff(at)
-    chars = np.concatenate([[0], np.cumsum(_LEADS[data])])
-    per_word = np.concatenate([[0], np.cumsum(chars[e] - chars[s])])
-    symbols = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
-    c = prefix_hash(data)
-    down = powers(len(data))[1]
-    hashes = mixed((c[e] - c[s]) * down[s])
+    hashes = mixed(span_hashes(data, s, e))
     doc = np.repeat(np.arange(n), words)
     # lines: cut at line feeds and at the ends of documents
     cut = data == 10
@@ -41,7 +45,7 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     ends = np.minimum(np.append(begins[1:], len(data)), offsets[owner + 1])
     ends = ends - (cut[ends - 1] & (ends > begins))
     spoken = np.searchsorted(s, ends) > np.searchsorted(s, begins)
-    lines = mixed((c[ends[spoken]] - c[begins[spoken]]) * down[begins[spoken]])
+    lines = mixed(span_hashes(data, begins[spoken], ends[spoken]))
     owner = owner[spoken]
     # windows of three words inside a document
     m = len(s)
@@ -57,8 +61,8 @@ def measured(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     else:
         covered = np.zeros(m, bool)
     yield words
-    yield per_word[at[1:]] - per_word[at[:-1]]
-    yield symbols[offsets[1:]] - symbols[offsets[:-1]]
+    yield _counted(_LEADS[data], offsets)
+    yield _counted(_SYMBOL[data], offsets)
     yield np.bincount(owner[_later(lines, owner)], minlength=n)
     yield np.bincount(doc[covered], minlength=n)
 
@@ -126,7 +130,8 @@ def judged(docs: DataFrame, spread: float = 6.0, accuracy: int = 2000) -> DataFr
     sketches over all documents that pass the base rule; every task summarises what it has read, so that a group with
     a third of all rows costs no more than others.
 
-    Null text has no words and fails; null lang and null source are groups of their own; null doc_ids and repeated
+    Null text has no words and fails; texts of any length are measured as a whole, in pieces of bounded memory beside a few
+    numbers for each of their words; a rate that equals its threshold is kept; null lang and null source are groups of their own; null doc_ids and repeated
     rows are judged each; other columns are ignored; an empty table gives no rows.
     """
     m = metrics(docs)

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -535,6 +536,47 @@ def test_quality(docs, none):
     assert quality.judged(none).count() == 0
 
 
+def words_of(raw):
+    """Metrics of a text without numpy."""
+    w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often, covered = Counter(windows), set()
+    for i, k in enumerate(windows):
+        if often[k] > 1:
+            covered |= {i, i + 1, i + 2}
+    lines = [x for x in raw.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    return [len(w), sum(len(x.decode()) for x in w), len(re.findall(rb"[#*$%&|<>]", raw)), len(lines) - len(set(lines)), len(covered)]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """What is measured of a text doesn't depend on where its pieces end: words, lines and shingles over the borders, and words longer than a piece."""
+    parts = ["alpha", "é", "#", "beta-gamma", "z" * 300, "\n", "\n", "same line here\n", "日本", "\t", " "]
+    texts = [(" ".join(RNG.choice(parts, 3000))).encode() for _ in range(3)] + [("y" * 20_000 + " " + "y" * 20_000 + "\n").encode() * 3, b"q" * 9000]
+    whole = [jaccard.sets_of(pa.array([t.decode()]), 5) for t in texts]
+    whole = [next(x) for x in whole]
+    monkeypatch.setattr(base, "STEP_BYTES", 1 << 10)
+    for t, s in zip(texts, whole, strict=True):
+        data, at = np.frombuffer(t, np.uint8), np.array([0, len(t)])
+        assert [int(x[0]) for x in quality.measured(data, at)] == words_of(t)
+        assert (next(jaccard.sets_of(pa.array([t.decode()]), 5)) == s).all()
+
+
+def test_64_mib(monkeypatch):
+    """A text of 64 MiB beside a short one, through what op3, op6, op9 and op10 do with a text."""
+    line = (" ".join(f"w{i}" for i in RNG.integers(0, 10**6, 2000)) + "\n").encode()
+    raw = line * ((64 << 20) // len(line))
+    data, at = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    n = 2000 * (len(raw) // len(line))
+    words, chars, symbols, again, covered = (int(x[0]) for x in quality.measured(data, at))
+    assert (words, chars, symbols, again, covered) == (n, len(raw) - n, 0, n // 2000 - 1, n)
+    assert len(next(jaccard.sets_of(pa.array([raw.decode()]), 5))) == 2000
+    assert abs(classifier.pooled(data, at, classifier.index_vectors())[0, -1] - np.log1p(n)) < 1e-3
+    grams = set()
+    for _, own, part, _ in suffixes.regions(at, data):
+        grams |= set(suffixes.Anchors(own, part).gram.tolist())
+    assert 0 < len(grams) < len(line) // 20
+
+
 def test_quality_thresholds_follow_their_group(spark):
     clean = [" ".join(RNG.choice([f"w{i}" for i in range(400)], 120)) for _ in range(60)]
     loud = [" ".join(f"{w}#" if i % 2 else w for i, w in enumerate(t.split())) for t in clean[:3]]
