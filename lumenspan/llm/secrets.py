@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -20,10 +21,13 @@ RULES: list[tuple[str, str, str, int]] = [
     ("hex", r"[0-9a-f]{24,}", "", 24),
     ("github", r"gh[opsur]_[A-Za-z0-9]+", "", 40),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]+", "", 15),
-    ("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", "", 27),
+    ("private_key", r"-----BEGIN ([A-Z]+ )*PRIVATE KEY( BLOCK)?-----", "", 27),
     ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "", 38),
 ]
 BASE = ("assign", "access", "hex")
+#: Fixed value: what follows a private key's header up to its end mark. It is matched from the header's end on, as in the automaton
+#: each of its bytes could begin another rule, which doubles the states.
+KEY_BODY = re.compile(rb"(\r?\n[A-Za-z-]+: [A-Za-z0-9.,-]+)*[A-Za-z0-9+/=\r\n]+-----END ([A-Z]+ )*PRIVATE KEY( BLOCK)?-----")
 
 
 class Nfa:
@@ -256,6 +260,7 @@ class Automaton:
                     if self._value(rule, data, begin, i) >= self.rules[rule][3]:
                         found.append((begin, i, rule))
             i += 1
+        found = [(b, m.end(), r) if self.rules[r][0] == "private_key" and (m := KEY_BODY.match(data, e)) else (b, e, r) for b, e, r in found]
         found.sort(key=lambda x: (x[0], x[2]))
         return found
 
@@ -345,7 +350,9 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret in ``text`` replaced by ``mark``; spans that overlap become one. n_chars, if there, follows.
 
-    Null texts stay null; columns and rows are kept as they are otherwise.
+    Null texts stay null, empty ones empty; texts of any length are one run of the automaton; repeated rows are changed
+    alike; of secrets that begin at one place the longest counts. Rows and all columns, whatever their names, are kept as they are
+    otherwise; an empty table gives no rows. Of a private key without its end mark only the header can be told.
     """
     bounded_batches(docs.sparkSession)
     names, schema = docs.columns, docs.schema
