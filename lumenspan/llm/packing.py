@@ -71,7 +71,9 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
 
     Each task packs groups of documents of about ``group_tokens`` tokens, a bound on its memory; there is no shuffle.
     Null text counts as empty and gives the end id alone; a null doc_id stays null; repeated rows are packed each;
-    other columns are ignored; an empty table gives no rows. Equal lengths go in the order of the rows.
+    other columns are ignored; an empty table gives no rows. Equal lengths go in the order of the rows, and sequences are
+    numbered by the task, so the input should be a stored table (the query's and the pipeline's are): its partitions hold the
+    same rows in the same order when a task runs again.
     """
     bounded_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")

@@ -83,7 +83,9 @@ class Anchors:
         same[1:-1] = (at[1:] == at[:-1]) & valid[1:] & valid[:-1]
         self.first = np.flatnonzero(valid & ~same[:-1])
         self.last = np.flatnonzero(valid & ~same[1:])
-        self.at, self.gram = at[self.first], gram[at[self.first]]
+        self.at = at[self.first]
+        # least grams are small numbers; mixed again, they are dealt evenly
+        self.gram = mixed(gram[self.at] + np.uint64(1))
         self.doc = np.searchsorted(offsets, self.first, "right") - 1
 
     def kept(self, keep: np.ndarray) -> Anchors:
