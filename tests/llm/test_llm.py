@@ -670,6 +670,24 @@ def test_pipeline(spark, small):
     assert corpus_pipeline.STAGES[-1][1](spark, at.limit(0), small).count() == 0
 
 
+def test_pipeline_stages_on_odd_rows(spark, small, none):
+    """Every stage on an empty table, and all of them in turn on nulls, repeated rows, long texts and columns with helpers' names."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, small)
+        assert out.count() == 0 and (out.columns == none.columns or name == "packing"), name
+    rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}") for i, t in enumerate(TEXTS)] * 2 + [(None, PROSE[4], None, None), (None, None, None, None)]
+    names = ["score", "own", "key", "rep_doc", "copy", "part", "node", "text_hash"]
+    at = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} int" for n in names))
+    columns = at.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = base.staged(stage(spark, at, small), "odd")
+        assert at.columns == columns, name
+        for r in at.collect():
+            assert tuple(r)[4:] == tuple(range(len(names)))
+            assert name == "secret scans" or name == "mixing to target weights" or (r.text in TEXTS)
+    assert at.count() and corpus_pipeline.STAGES[-1][1](spark, at, small).count() >= at.count()
+
+
 def test_every_query_is_there():
     assert [k.split("_")[0] for k in queries.queries()] == [f"op{i}" for i in range(1, 11)]
 
