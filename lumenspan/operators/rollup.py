@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..work import floor_ns
-from .weighted import bin_of, quantiles, whole_weight
+from .weighted import bin_of, float_bin, quantiles, whole_weight
 
 LEVELS = {"1m": 60, "5m": 300, "1h": 3600}
 KEYS = ["bucket", "service_name", "operation"]
@@ -68,3 +68,14 @@ def metric_rollup(states: DataFrame, seconds: int) -> DataFrame:
     keyed = states.withColumn("bucket", floor_ns(F.col("bucket"), seconds))
     out = keyed.groupBy("bucket", "service_name", "metric_name", "metric_type", "labels_key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("greatest").alias("greatest"))
     return out.withColumn("mean", F.col("total") / F.col("n"))
+
+
+def metric_bins(metrics: DataFrame, seconds: int = 60) -> DataFrame:
+    """Histogram state of metrics by window and series, next to ``metric_states``: a row for each bin of values, which merges by sums."""
+    keyed = metrics.where(F.col("value").isNotNull()).select(floor_ns(F.col("ts_ns"), seconds).alias("bucket"), "service_name", "metric_name", labels_key(F.col("labels")).alias("labels_key"), float_bin(F.col("value")).alias("bin"))
+    return keyed.groupBy("bucket", "service_name", "metric_name", "labels_key", "bin").agg(F.count(F.lit(1)).alias("w"))
+
+
+def metric_quantiles(bins: DataFrame, seconds: int, keys: tuple[str, ...] = ("service_name", "metric_name", "labels_key")) -> DataFrame:
+    """p50, p95 and p99 of a coarser window from finer histograms, by series or by what ``keys`` keeps of it."""
+    return quantiles(bins.withColumn("bucket", floor_ns(F.col("bucket"), seconds)), ["bucket", *keys], {"p50": 0.5, "p95": 0.95, "p99": 0.99})

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import share_of
+from ..schema import DEFAULTS
 from ..work import gathered, staged
 
 SALT = "sampling-decision:"
@@ -102,6 +103,21 @@ def decide(spans: DataFrame, chain: tuple[Policy, ...] = SHIPPED) -> DataFrame:
     return traces.withColumn("verdict", F.coalesce("verdict", drop("none"))).select("trace_id", "verdict.sampled", "verdict.policy", "verdict.weight")
 
 
+def cutoffs(spans: DataFrame, max_traces: int = DEFAULTS["max_traces"], wait_ms: int = DEFAULTS["decision_wait_ms"], replicas: int = DEFAULTS["kafka_partitions"]) -> DataFrame:
+    """trace_id, start_ns, decided_ns and forced: when a buffer of at most ``max_traces`` traces in each replica decides each trace.
+
+    A trace waits ``wait_ms`` from its first span, unless the buffer is full before: then the oldest one is decided
+    with the spans that are there. The oldest goes first, so a trace is forced when the ``max_traces``-th one after it arrives
+    before its time. Spans from ``decided_ns`` on are late (``late``).
+    """
+    replica = F.pmod(F.conv(F.substring(F.md5("trace_id"), 1, 8), 16, 10).cast("long"), F.lit(replicas))
+    first = spans.groupBy("trace_id").agg(F.min("ts_ns").alias("start_ns"))
+    following = F.lead("start_ns", max_traces).over(Window.partitionBy(replica).orderBy("start_ns", "trace_id"))
+    due = F.col("start_ns") + wait_ms * 1_000_000
+    out = first.withColumn("following", following).withColumn("forced", F.coalesce(F.col("following") < due, F.lit(False)))
+    return out.select("trace_id", "start_ns", F.when(F.col("forced"), F.col("following")).otherwise(due).alias("decided_ns"), "forced")
+
+
 def chosen(trace_id: Column, rate: float) -> Column:
     """Deterministic choice by trace id: all at 1 and above, none at 0 and below."""
     return F.lit(True) if rate >= 1 else F.lit(False) if rate <= 0 else share_of(trace_id, SALT) < rate

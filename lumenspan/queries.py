@@ -223,6 +223,17 @@ def metrics_rollup_1m(spark, sf_dir):
     return rollup.metric_states(fixtures.metrics(spark, sf_dir)).select("bucket", "service_name", "metric_name", "labels_key", "n", F.round("total", 6).alias("total"), "least", "greatest")
 
 
+_FLOAT_BIN = "floor(value / pow(2.0, floor(log2(value)) - 9)) * pow(2.0, floor(log2(value)) - 9)"
+
+
+@query(f"""WITH b AS (SELECT epoch_us(ts) * 1000 - (epoch_us(ts) * 1000) % 3600000000000 AS bucket, 'events.' || event_type AS metric_name, CASE WHEN value = 0 THEN 0 ELSE {_FLOAT_BIN} END AS bin FROM events WHERE value IS NOT NULL),
+r AS (SELECT *, count(*) OVER (PARTITION BY bucket, metric_name ORDER BY bin) AS upto, count(*) OVER (PARTITION BY bucket, metric_name) AS total FROM b)
+SELECT bucket, metric_name, min(bin) FILTER (upto >= 0.5 * total) AS p50, min(bin) FILTER (upto >= 0.95 * total) AS p95, min(bin) FILTER (upto >= 0.99 * total) AS p99 FROM r GROUP BY ALL""")
+def metrics_quantiles(spark, sf_dir):
+    """Hourly quantiles of each metric over all series, from one-minute histograms."""
+    return rollup.metric_quantiles(rollup.metric_bins(fixtures.metrics(spark, sf_dir)), 3600, ("metric_name",))
+
+
 @query(f"WITH {SPANS_SQL} SELECT DISTINCT service_name FROM spans WHERE ts_ns - ts_ns % 3600000000000 >= {NOW_NS - 30 * 86_400_000_000_000}")
 def services_distinct(spark, sf_dir):
     return rollup.services(rollup.coarser(rollup.red_states(fixtures.spans(spark, sf_dir)), "1h"), NOW_NS - 30 * 86_400_000_000_000)
@@ -324,6 +335,14 @@ def sampling_chain(spark, sf_dir):
     return sampling.decide(one, chain).select("trace_id", "policy", "sampled", "weight")
 
 
+@query(f"""WITH {SPANS_SQL}, f AS (SELECT trace_id, min(ts_ns) AS start_ns FROM spans GROUP BY ALL),
+n AS (SELECT *, lead(start_ns, 5) OVER (PARTITION BY CAST('0x' || substr(md5(trace_id), 1, 8) AS BIGINT) % 4 ORDER BY start_ns, trace_id) AS following FROM f)
+SELECT trace_id, start_ns, least(coalesce(following, start_ns + 3600000000000), start_ns + 3600000000000) AS decided_ns, coalesce(following < start_ns + 3600000000000, false) AS forced FROM n""")
+def sampling_evictions(spark, sf_dir):
+    """Buffers of five traces in four replicas, each trace waiting an hour."""
+    return sampling.cutoffs(fixtures.spans(spark, sf_dir), 5, 3_600_000, 4)
+
+
 @query(f"WITH {SPANS_SQL} SELECT 'k' AS key, count(DISTINCT k) AS distinct_values FROM spans UNION ALL SELECT 'event.type', count(DISTINCT span_name) FROM spans")
 def cardinality_exact(spark, sf_dir):
     return cardinality.estimates(fixtures.spans(spark, sf_dir), exact=True)

@@ -48,6 +48,42 @@ def policies(text: str) -> tuple[Policy, ...]:
     return tuple(out)
 
 
+class PolicyFile:
+    """A chain that follows its file: read again when the file has changed, looked at every ``every_s`` seconds. One that can't be read or has a mistake leaves the chain before as it is.
+
+    Every process that decides has its own copy, so the file must lie where all can read it (any URI that Arrow's file systems know).
+    """
+
+    def __init__(self, uri: str, every_s: float = 5.0):
+        self.uri, self.every_s = uri, every_s
+        self._changed, self._next, self.error = None, 0.0, ""
+        self._chain: tuple[Policy, ...] = ()
+        self.current()
+        if self.error:
+            raise ValueError(self.error)
+
+    def current(self) -> tuple[Policy, ...]:
+        import time
+
+        from pyarrow import fs
+
+        if time.monotonic() >= self._next:
+            self._next = time.monotonic() + self.every_s
+            try:
+                store, path = fs.FileSystem.from_uri(self.uri)
+                changed = store.get_file_info(path).mtime
+                if changed is None or changed != self._changed:
+                    with store.open_input_stream(path) as f:
+                        self._chain = policies(f.read().decode())
+                    self._changed, self.error = changed, ""
+            except Exception as e:  # whatever is wrong with the new file, deciding goes on with the old chain
+                self.error = f"{self.uri}: {e}"
+        return self._chain
+
+    def __getstate__(self):
+        return {**self.__dict__, "_next": 0.0}
+
+
 def budgets(text: str) -> tuple[Budget, dict[str, Budget]]:
     """The default budget and those by key."""
     loaded = _yaml(text)

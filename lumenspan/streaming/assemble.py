@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import rollup
 from ..operators.sampling import SALT, Policy
 from ..schema import DEFAULTS
+from ..sources.config import PolicyFile
 
 COLUMNS = ["ts_ns", "span_id", "parent_span_id", "service_name", "span_name", "duration_ns", "status_code"]
 #: Whole spans go through state as JSON, next to what closing and deciding look at; ``marks`` has a 1 for each attribute policy that the span meets.
@@ -23,17 +24,15 @@ KINDS = ("errors", "slow", "attribute", "probabilistic")
 JSON = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
-def _verdict(rows: list[tuple], share: float, chain: tuple[Policy, ...]) -> float:
-    """Weight of a whole trace, 0 if it is dropped: the first policy that decides."""
+def _verdict(rows: list[tuple], share: float, chain: tuple[Policy, ...], known: list[tuple[str, str]]) -> float:
+    """Weight of a whole trace, 0 if it is dropped: the first policy that decides. ``known``: the attributes whose marks the spans carry."""
     start, end = min(r[0] for r in rows), max(r[0] + r[5] for r in rows)
-    attribute = -1
     for p in chain:
-        attribute += p.kind == "attribute"
         if p.kind == "errors" and any(r[6] == "error" for r in rows):
             return 1.0
         if p.kind == "slow" and end - start > p.threshold_ns:
             return 1.0
-        if p.kind == "attribute" and any(r[7][attribute] == "1" for r in rows):
+        if p.kind == "attribute" and any(r[7][known.index((p.key, p.value))] == "1" for r in rows):
             return 1.0
         if p.kind == "probabilistic":
             return 1 / p.rate if p.rate > 0 and (p.rate >= 1 or share < p.rate) else 0.0
@@ -50,7 +49,7 @@ def closed(rows: list[tuple]) -> bool:
     return len(rows) > 1 and all(r[0] >= a and r[0] + r[5] <= z and (r[2] in ids or r is roots[0]) for r in rows)
 
 
-def assemble(spans: DataFrame, chain: tuple[Policy, ...], wait_ms: int = DEFAULTS["decision_wait_ms"], keep_ms: int = DEFAULTS["decided_ttl_ms"], early: bool = True) -> DataFrame:
+def assemble(spans: DataFrame, chain: tuple[Policy, ...] | PolicyFile, wait_ms: int = DEFAULTS["decision_wait_ms"], keep_ms: int = DEFAULTS["decided_ttl_ms"], early: bool = True) -> DataFrame:
     """Whole spans of sampled traces, with all their columns, ``sampling_weight`` and ``late``, as soon as each trace is decided.
 
     A trace is held from its first span for ``wait_ms`` of processing time, or until its root closes it. Then the chain decides once. Spans that come
@@ -59,9 +58,20 @@ def assemble(spans: DataFrame, chain: tuple[Policy, ...], wait_ms: int = DEFAULT
 
     Rate limits and rolling thresholds need a second state, by service; the engine allows one such operator in a stream,
     so a chain that has them is an error here. ``sampling.decide`` has them.
+
+    With a ``PolicyFile`` traces are decided by the chain that the file holds then. Attributes are looked at when a span comes
+    in, so a changed file may drop or reorder attribute policies but not bring new keys; it is then refused and the one before stays.
     """
+    live = chain if isinstance(chain, PolicyFile) else None
+    chain = live.current() if live else chain
     if other := [p.kind for p in chain if p.kind not in KINDS]:
         raise ValueError(f"policies that a stream can't apply: {other}")
+    known = [(p.key, p.value) for p in chain if p.kind == "attribute"]
+
+    def now() -> tuple[Policy, ...]:
+        new = live.current() if live else chain
+        return new if all(p.kind in KINDS and (p.kind != "attribute" or (p.key, p.value) in known) for p in new) else chain
+
     kinds = spans.drop("sampling_weight").schema
     has = lambda p: [F.coalesce(F.col(c)[p.key] == p.value, F.lit(False)) for c in ("span_attributes", "resource_attributes") if c in spans.columns]
     marks = F.concat(F.lit(""), *(reduce(Column.__or__, has(p), F.lit(False)).cast("int").cast("string") for p in chain if p.kind == "attribute"))
@@ -75,7 +85,7 @@ def assemble(spans: DataFrame, chain: tuple[Policy, ...], wait_ms: int = DEFAULT
                 state.remove()
                 return
             decided, late, fresh = True, False, held
-            weight = _verdict(held, _share(key[0]), chain)
+            weight = _verdict(held, _share(key[0]), now(), known)
         else:
             fresh = [tuple(r) for b in batches for r in b[HELD].itertuples(index=False)]
             late = decided
@@ -89,7 +99,7 @@ def assemble(spans: DataFrame, chain: tuple[Policy, ...], wait_ms: int = DEFAULT
                         state.setTimeoutDuration(wait_ms)
                     return
                 decided, fresh = True, held
-                weight = _verdict(held, _share(key[0]), chain)
+                weight = _verdict(held, _share(key[0]), now(), known)
         state.update((decided, weight, []))
         state.setTimeoutDuration(keep_ms)
         if weight > 0 and fresh:

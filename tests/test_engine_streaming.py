@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenspan.engine import Engine, TooManyRows
-from lumenspan.operators import rollup, sampling, storage
-from lumenspan.sources import fixtures, generators
-from lumenspan.streaming import assemble, keys, templates
+from lumenspan.operators import rollup, sampling, storage, tree
+from lumenspan.sources import config, fixtures, generators
+from lumenspan.streaming import assemble, flush, keys, templates
 
 NOW = datetime(2024, 1, 8, tzinfo=timezone.utc)
 
@@ -160,3 +160,53 @@ def test_keys(spark):
     rows = spark.createDataFrame([("0" * 32, "a"), ("f" * 32, "b"), (None, "c")], "t string, s string")
     assert [r[0] for r in rows.select(keys.log_key(F.col("t"), F.col("s"))).collect()] == ["a", "f" * 32, "c"]
     assert rows.select(keys.metric_key(F.col("s"), F.lit("m"))).distinct().count() == 3 and rows.select(keys.span_key(F.col("t"))).count() == 3
+
+
+def test_flush_writes_tables_in_order(spark, tmp_path):
+    """One micro-batch becomes several tables; run again, it overwrites its part; a failing write is tried again."""
+    spans = generators.traces(spark, 20)
+    spans.write.parquet(f"{tmp_path}/in")
+    written, fails = [], [1]
+
+    def edges(batch):
+        written.append("edges")
+        if fails.pop() if fails else False:
+            raise OSError("the store is away")
+        return tree.service_edges(batch)
+
+    def whole(batch):
+        written.append("spans")
+        return batch
+
+    read = assemble.source(spark, "parquet", spans.schema, path=f"{tmp_path}/in")
+    sink = flush.flush(f"file://{tmp_path}/out", {"service_edges_raw": edges, "spans": whole})
+    q = read.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert written == ["spans", "edges", "edges"]
+    sink(spans, 0)
+    assert spark.read.parquet(f"{tmp_path}/out/spans").count() == spans.count() and spark.read.parquet(f"{tmp_path}/out/service_edges_raw").count() == tree.service_edges(spans).count()
+    figures = flush.health(q.lastProgress)
+    assert figures["state_rows"] == 0 and figures["lag"] == 0 and set(figures) == set(flush.health(None))
+    with pytest.raises(ValueError):
+        flush.flush("x", {"orders": whole})
+
+
+def test_stream_follows_a_policy_file(spark, tmp_path):
+    """The chain of the file decides: here one that keeps nothing but what a span's attribute forces."""
+    spans = generators.traces(spark, 30).drop("sampling_weight")
+    forced = spans.withColumn("span_attributes", F.create_map(F.lit("keep"), (F.col("span_name") == spans.first().span_name).cast("string")))
+    forced.write.parquet(f"{tmp_path}/in")
+    (tmp_path / "chain.yaml").write_text("policies: [{type: attribute_match, key: keep, value: 'true'}, {type: probabilistic, rate: 0.0}]")
+    file = config.PolicyFile((tmp_path / "chain.yaml").as_uri(), every_s=0)
+    read = assemble.source(spark, "parquet", forced.schema, path=f"{tmp_path}/in", maxFilesPerTrigger=1000)
+    out = assemble.assemble(read, file, wait_ms=1000, keep_ms=1000, early=False)
+    q = out.writeStream.foreachBatch(assemble.write_once(f"{tmp_path}/out", "spans")).option("checkpointLocation", f"{tmp_path}/state").start()
+    try:
+        assemble.until_empty(q)
+    finally:
+        q.stop()
+    want = forced.join(forced.where(F.col("span_attributes")["keep"] == "true").select("trace_id").distinct(), "trace_id").count()
+    assert 0 < spark.read.schema(out.schema).parquet(f"{tmp_path}/out/spans").count() == want
+    with pytest.raises(ValueError):
+        (tmp_path / "chain.yaml").write_text("policies: [{type: rate_limiting, rate_per_second: 5}]")
+        assemble.assemble(read, config.PolicyFile((tmp_path / "chain.yaml").as_uri()))

@@ -1,13 +1,18 @@
+import os
+import struct
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from lumenspan import cold
 from lumenspan.functions import hashing
-from lumenspan.operators import anomaly, cardinality, graph, logs, rollup, sampling, storage, tree
+from lumenspan.operators import alerts, anomaly, cardinality, graph, logs, rollup, sampling, storage, tree
 from lumenspan.operators.logs import Leaf
 from lumenspan.operators.weighted import quantiles
 from lumenspan.plans import logical
 from lumenspan.schema import NO_SPAN
-from lumenspan.sources import config, generators, otlp
+from lumenspan.sources import config, generators, otlp, protobuf
 
 
 def span(n, parent, service, start, duration, status="ok", trace="t"):
@@ -191,3 +196,116 @@ def test_generated_traces(spark):
     t = generators.traces(spark, 50)
     assert t.where(F.col("parent_span_id") == NO_SPAN).count() == 50 and tree.orphans(t).count() == 0
     assert t.exceptAll(generators.traces(spark, 50)).count() == 0
+
+
+def test_alerts_are_sent_to_each_place():
+    rule = config.Rule("hot", "api", "latency", "threshold", op=">", threshold=2.0, cooldown_s=60, webhook="w", slack_webhook="s")
+    values = iter([(1.0, 0), (3.0, 10**9), (1.0, 2 * 10**9), (4.0, 100 * 10**9), (1.5, 300 * 10**9)])
+    sent = []
+
+    def to(url, body):
+        sent.append((url, body))
+        if url == "w":
+            raise OSError("down")
+
+    e = alerts.Evaluator([rule], lambda r: next(values), to=to)
+    made = [e.tick() for _ in range(5)]
+    assert [[n.firing for n in notes] for notes, _ in made] == [[], [True], [], [True], [False]]
+    assert [len(errors) for _, errors in made] == [0, 1, 0, 1, 1] and [u for u, _ in sent] == ["w", "s"] * 3
+    assert sent[1][1] == {"text": "[FIRING] hot (api/latency): value=3.0000 > 2.0000"}
+    assert sent[0][1] == {"Rule": "hot", "Service": "api", "Metric": "latency", "Firing": True, "Message": "value=3.0000 > 2.0000", "Time": "1970-01-01T00:00:01Z"}
+    broken = alerts.Evaluator([rule], lambda r: 1 / 0, to=to)
+    assert broken.tick()[0] == [] and isinstance(broken.tick()[1][0], ZeroDivisionError)
+    assert [alerts.error_band(x) for x in (0.019, 0.02, 0.1)] == ["green", "amber", "red"] and alerts.whole_ms(1_999_999) == 1
+
+
+def test_retries_wait_longer_and_stop_at_permanent_errors():
+    tries, waits = [], []
+
+    def run(error, until):
+        tries.append(1)
+        if len(tries) < until:
+            raise error
+        return "done"
+
+    assert alerts.retried(lambda: run(OSError(), 4), sleep=waits.append, draw=lambda: 1.0) == "done" and waits == [0.1, 0.2, 0.4]
+    tries.clear()
+    with pytest.raises(KeyError):
+        alerts.retried(lambda: run(KeyError("x"), 4), permanent=(KeyError,), sleep=waits.append)
+    assert len(tries) == 1
+    tries.clear()
+    with pytest.raises(OSError):
+        alerts.retried(lambda: run(OSError(), 9), attempts=3, sleep=lambda s: None)
+    assert len(tries) == 3
+
+
+def test_cold_tier_from_the_command_line(spark, tmp_path):
+    hot, cold_ = f"file://{tmp_path}/hot", f"file://{tmp_path}/cold"
+    storage.write(generators.traces(spark, 30), f"{hot}/spans", "spans")
+    tier = storage.ColdTier(spark, hot, cold_)
+    later = 1_735_689_600_000_000_000
+    listed = cold.tiered(tier, "spans", "24h", now_ns=later)
+    assert len(listed) == 1 and listed[0].startswith("would export spans 2024-01-01: ") and tier.manifest("spans", "2024-01-01") is None
+    assert [x.split()[0] for x in cold.tiered(tier, "spans", "24h", export=True, drop=True, now_ns=later)] == ["exported", "dropped"]
+    assert tier.restore("spans", "2024-01-01") == generators.traces(spark, 30).count()
+    assert cold.tiered(tier, "spans", "99999h", now_ns=later) == ["spans has no day older than 99999h"]
+    with pytest.raises(ValueError):
+        cold.tiered(tier, "spans", "24h", drop=True)
+
+
+def _field(number, value):
+    """A field of the wire format: whole numbers as varints, floats and (number,) as eight bytes, the rest with its length."""
+
+    def varint(x):
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    if isinstance(value, tuple):
+        return varint(number << 3 | 1) + struct.pack("<q", value[0])
+    if isinstance(value, float):
+        return varint(number << 3 | 1) + struct.pack("<d", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value % (1 << 64))
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _pair(key, any_):
+    return _field(1, key) + _field(2, any_)
+
+
+def test_binary_exports(spark):
+    resource = _field(1, _field(1, _pair("service.name", _field(1, "ledger"))))
+    event = _field(1, (7,)) + _field(2, "retry") + _field(3, _pair("n", _field(3, -2)))
+    span = b"".join([_field(1, b"\x01" * 16), _field(2, b"\x02" * 8), _field(5, "transfer"), _field(6, 2), _field(7, (1000,)), _field(8, (4000,)), _field(9, _pair("ok", _field(2, 1))), _field(9, _pair("cost", _field(4, 2.5))),
+                     _field(9, _pair("list", _field(5, _field(1, _field(1, "a")) + _field(1, _field(3, 3))))), _field(11, event), _field(15, _field(2, "bad") + _field(3, 2)), _field(99, "unknown")])
+    traces = _field(1, resource + _field(2, _field(1, b"") + _field(2, span)))
+    log = _field(1, resource + _field(2, _field(2, _field(11, (55,)) + _field(2, 17) + _field(5, _field(1, "it broke")) + _field(6, _pair("raw", _field(7, b"\xff"))))))
+    point = _field(3, (9,)) + _field(6, (-4,)) + _field(7, _pair("zone", _field(1, "n")))
+    histogram = _field(3, (9,)) + _field(4, (12,)) + _field(5, 6.5)
+    metrics = _field(1, resource + _field(2, _field(2, _field(1, "depth") + _field(5, _field(1, point))) + _field(2, _field(1, "size") + _field(9, _field(1, histogram)))))
+    rows = spark.createDataFrame([(bytearray(traces),), (bytearray(traces[:-3]),), (None,), (bytearray(b"\x0b"),)], "value binary")
+    (s,) = otlp.spans(protobuf.as_json(rows, "TRACES")).collect()
+    assert (s.trace_id, s.span_id, s.parent_span_id, s.service_name, s.span_name, s.span_kind, s.ts_ns, s.duration_ns, s.status_code, s.status_message) == ("01" * 16, "02" * 8, "0" * 16, "ledger", "transfer", "server", 1000, 3000, "error", "bad")
+    assert s.span_attributes == {"ok": "true", "cost": "2.5", "list": "[a,3]"} and [(e.ts_ns, e.name, e.attributes) for e in s.events] == [(7, "retry", {"n": "-2"})]
+    (x,) = otlp.logs(protobuf.as_json(spark.createDataFrame([(bytearray(log),)], "value binary"), "LOGS")).collect()
+    assert (x.ts_ns, x.service_name, x.severity_number, x.body, x.log_attributes) == (55, "ledger", 17, "it broke", {"raw": "ff"})
+    got = otlp.metrics(protobuf.as_json(spark.createDataFrame([(bytearray(metrics),)], "value binary"), "METRICS")).collect()
+    assert sorted((m.metric_name, m.metric_type, m.value, m.ts_ns) for m in got) == [("depth", "gauge", -4.0, 9), ("size_count", "histogram", 12.0, 9), ("size_sum", "histogram", 6.5, 9)]
+
+
+def test_policy_file_is_read_again(tmp_path):
+    at = tmp_path / "chain.yaml"
+    at.write_text("policies: [{type: always_sample_errors}]")
+    f = config.PolicyFile(at.as_uri(), every_s=0)
+    assert [p.kind for p in f.current()] == ["errors"]
+    for text, kinds in (("policies: [{type: nonsense}]", ["errors"]), ("policies: [{type: probabilistic, rate: 0.5}]", ["probabilistic"])):
+        at.write_text(text)
+        os.utime(at, ns=(1, time.time_ns()))
+        assert [p.kind for p in f.current()] == kinds and bool(f.error) == (kinds == ["errors"])
+    at.unlink()
+    assert [p.kind for p in f.current()] == ["probabilistic"] and f.error
+    with pytest.raises(ValueError):
+        config.PolicyFile(at.as_uri())
