@@ -438,9 +438,9 @@ def repeated_intervals(texts: DataFrame, buckets: int, level: int = 0) -> DataFr
                     last = len(left) + len(key) - 8 - SPAN
                     for text, lo in places:
                         known.setdefault(text, []).append((lo, lo + last))
-            for k, (tids, spans) in enumerate(packed(known)):
+            for tids, spans in packed(known):
                 n = len(tids)
-                yield pa.RecordBatch.from_arrays([pa.array([k % buckets] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(tids, pa.binary()), pa.array(spans, pa.binary())], ["bucket", "run", "tid", "spans"])
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(t[:4], "big") * buckets >> 32 for t in tids], pa.int32()), pa.nulls(n, pa.binary()), pa.array(tids, pa.binary()), pa.array(spans, pa.binary())], ["bucket", "run", "tid", "spans"])
             entries = sorted((key, left, places if len(places) == 1 else []) for (key, left), places in held.items())
             first = 0
             lead = [int.from_bytes(e[0][:4], "big") * buckets >> 32 for e in entries]
