@@ -46,6 +46,20 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(documents(spark, sf_dir)).drop("removed")
 
 
+OP3_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, encode(coalesce(text, '')) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, hash(array_slice(x, i + 1, i + 200)) AS g FROM (SELECT doc_id, x, unnest(range(0, n - 199)) AS i FROM t WHERE n >= 200)),
+hits AS (SELECT doc_id, i FROM w WHERE g IN (SELECT g FROM w GROUP BY g HAVING count(*) > 1)),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM hits),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked),
+runs AS (SELECT doc_id, k, min(i) AS b, max(i) + 200 AS e FROM numbered GROUP BY doc_id, k),
+pieces AS (SELECT doc_id, k, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY k), 0) AS a FROM runs),
+kept AS (SELECT p.doc_id, sum(e - b) AS gone, count(*) AS n_spans, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY k) || substr(any_value(h), 2 * max(e) + 1) AS rest FROM pieces p JOIN t USING (doc_id) GROUP BY p.doc_id)
+SELECT t.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+
 def _digest(batches):
     for batch in batches:
         ids = [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
@@ -118,6 +132,25 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: The sketches hold groups of up to a few thousand rows exactly, so at such sizes the quartiles are those of sorted lists.
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lines AS (SELECT doc_id, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l FROM t),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t WHERE len(w) >= 3)),
+again AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1) GROUP BY doc_id),
+m AS (
+  SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(x, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+  FROM t JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS a, n_dup_lines / greatest(n_words, 1) AS b, n_repeat_words / greatest(n_words, 1) AS c, word_chars / greatest(n_words, 1) AS d FROM m),
+q AS (SELECT lang, source, count(*) AS n, list_sort(list(a)) AS a, list_sort(list(b)) AS b, list_sort(list(c)) AS c, list_sort(list(d)) AS d FROM f WHERE NOT base_failed GROUP BY lang, source),
+placed AS (SELECT *, CAST(greatest(1, ceil(0.25 * n)) AS BIGINT) AS lo, CAST(greatest(1, ceil(0.75 * n)) AS BIGINT) AS up FROM q),
+most AS (SELECT lang, source, a[up] + greatest(6.0 * (a[up] - a[lo]), 0.1) AS a, b[up] + greatest(6.0 * (b[up] - b[lo]), 0.02) AS b, c[up] + greatest(6.0 * (c[up] - c[lo]), 0.25) AS c, d[up] + greatest(6.0 * (d[up] - d[lo]), 4.0) AS d FROM placed)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(f.a > most.a OR f.b > most.b OR f.c > most.c OR f.d > most.d, false) AS kept
+FROM f LEFT JOIN most ON f.lang IS NOT DISTINCT FROM most.lang AND f.source IS NOT DISTINCT FROM most.source
+"""
+
+
 def op10_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -130,4 +163,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op2_topk": OP2_SQL, "op6_jaccard": OP6_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_topk": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op6_jaccard": OP6_SQL, "op9_quality": OP9_SQL}
