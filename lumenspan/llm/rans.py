@@ -119,23 +119,48 @@ def packed_table(freq: np.ndarray) -> bytes:
     return zlib.compress(freq.astype("<u4").tobytes(), 6)
 
 
-def from_bytes(raw: bytes, coders: dict[str, Coder]) -> Iterator[tuple[int | None, np.ndarray]]:
-    """Documents of a file with their ids."""
+def header(raw: bytes) -> tuple[dict, int]:
+    """The header of a file, from its first bytes, and where the blocks begin."""
     if raw[:8] != MAGIC:
         raise ValueError("not a token file")
     size = int.from_bytes(raw[8:12], "little")
-    head = json.loads(zlib.decompress(raw[12 : 12 + size]))
+    return json.loads(zlib.decompress(raw[12 : 12 + size])), 12 + size
+
+
+def coder_of(head: dict, coders: dict[str, Coder]) -> Coder:
     if head["table"] not in coders:
         coders[head["table"]] = Coder(np.frombuffer(zlib.decompress(bytes.fromhex(head["table"])), "<u4").astype(np.int64))
-    at, parts = 12 + size, []
+    return coders[head["table"]]
+
+
+def ids_between(block, head: dict, coder: Coder, lo: int, hi: int) -> np.ndarray:
+    """The ids at places lo to hi of a file, decoded from the checkpoints before them on; ``block(at, size)`` reads bytes behind the header."""
+    out, at, first = [np.zeros(0, np.uint16)], 0, 0
     for b in head["blocks"]:
-        parts.append(coders[head["table"]].decode(raw[at : at + b["bytes"]], b["n"], b["marks"]))
-        at += b["bytes"]
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
-    at = 0
-    for doc, n in head["docs"]:
-        yield doc, ids[at : at + n]
-        at += n
+        if first < hi and first + b["n"] > lo:
+            body = block(at, b["bytes"])
+            for k, (begin, _, _) in enumerate(b["marks"]):
+                begin, end = first + begin, first + min(b["n"], begin + CHECK)
+                if begin < hi and end > lo:
+                    out.append(coder.decode(body, b["n"], b["marks"], only=k)[max(0, lo - begin) : hi - begin])
+        at, first = at + b["bytes"], first + b["n"]
+    return np.concatenate(out)
+
+
+def from_bytes(raw: bytes, coders: dict[str, Coder], lo: int = 0, hi: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """Documents of a file that begin at places lo to hi, each with its place and ids."""
+    head, begin = header(raw)
+    yield from _documents(head, lambda at, size: raw[begin + at : begin + at + size], coders, lo, hi)
+
+
+def _documents(head: dict, block, coders: dict[str, Coder], lo: int, hi: int | None) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    ends = np.cumsum([0] + [n for _, n in head["docs"]])
+    i, j = (int(np.searchsorted(ends[:-1], x)) if x is not None else len(ends) - 1 for x in (lo, hi))
+    if i >= j:
+        return
+    ids = ids_between(block, head, coder_of(head, coders), int(ends[i]), int(ends[j]))
+    for k in range(i, j):
+        yield head["docs"][k][0], int(ends[k]), ids[ends[k] - ends[i] : ends[k + 1] - ends[i]]
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -230,29 +255,45 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     return staged(tokens.select("doc_id", "ids").mapInArrow(write, "first_doc long, path string, n_docs long, n_tokens long, n_bytes long, crc32 long"), "manifest")
 
 
-def read_tokens(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Documents of the files of a manifest: doc_id, ids (little-endian unsigned 16-bit), start (ids of all documents before it)."""
+def read_tokens(spark: SparkSession, manifest: DataFrame, part_tokens: int = 2_000_000) -> DataFrame:
+    """Documents of the files of a manifest: doc_id, ids (little-endian unsigned 16-bit), start (ids of all documents before it).
+
+    A file of more than ``part_tokens`` ids is read by several tasks: each takes the documents that begin in its part, reads the
+    header and the blocks that these need, and decodes from the checkpoint before them on. Every stretch is checked against its CRC-32;
+    a file read as a whole also against that of the manifest.
+    """
     w = Window.orderBy(F.col("first_doc").asc_nulls_first(), "n_docs", "path").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.select("path", "crc32", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("base"))
+    files = manifest.select("path", "crc32", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("base"), F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / part_tokens)).cast("int").alias("parts"))
+    files = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def read(batches):
         coders: dict[str, Coder] = {}
         for batch in batches:
-            for path, crc, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, crc, base, parts, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, where = _opened(path)
                 with store.open_input_file(where) as f:
-                    raw = f.read()
-                if zlib.crc32(raw) != crc:
-                    raise ValueError(f"{path} is damaged")
-                rows, at = [], base
-                for doc, ids in from_bytes(raw, coders):
-                    rows.append((doc, at, ids.astype("<u2").tobytes()))
-                    at += len(ids)
-                    if len(rows) >= 1000:
+                    if parts == 1:
+                        raw = f.read()
+                        if zlib.crc32(raw) != crc:
+                            raise ValueError(f"{path} is damaged")
+                        found = from_bytes(raw, coders)
+                    else:
+                        first = f.read(12)
+                        head, begin = header(first + f.read(int.from_bytes(first[8:12], "little")))
+
+                        def block(at, size, f=f, begin=begin):
+                            f.seek(begin + at)
+                            return f.read(size)
+
+                        found = _documents(head, block, coders, part * part_tokens, (part + 1) * part_tokens if part + 1 < parts else None)
+                    rows = []
+                    for doc, at, ids in found:
+                        rows.append((doc, base + at, ids.astype("<u2").tobytes()))
+                        if len(rows) >= 1000:
+                            yield _rows(rows)
+                            rows = []
+                    if rows:
                         yield _rows(rows)
-                        rows = []
-                if rows:
-                    yield _rows(rows)
 
     n = max(1, spark.sparkContext.defaultParallelism * 4)
     return files.repartition(n).mapInArrow(read, "doc_id long, start long, ids binary")

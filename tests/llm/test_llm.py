@@ -105,6 +105,9 @@ def test_token_files(spark, docs, none):
         at += len(want[d])
     assert len(got) == len(TEXTS)
     assert rans.tokens_round_trip(none).count() == 0
+    manifest = rans.write_tokens(docs, base.new_folder(spark, "parts")).cache()
+    parts = sorted(rans.read_tokens(spark, manifest, part_tokens=700).collect(), key=lambda r: r.doc_id)
+    assert manifest.agg(F.max("n_tokens")).first()[0] > 7000 and [tuple(r) for r in parts] == [tuple(r) for r in got]
     mixed = table(spark, ["b", "a", "c"], ids=[5, None, 5])
     got = sorted(rans.tokens_round_trip(mixed).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 5, 5]
@@ -122,7 +125,18 @@ def test_rans_blocks(monkeypatch):
     assert (coder.decode(body, 8000, marks, only=1) == ids[4096:8000]).all()
     raw = rans.to_bytes(coder, rans.packed_table(freq), [(1, 12_000), (None, 0), (2, 8_000)], ids)
     back = list(rans.from_bytes(raw, {}))
-    assert [d for d, _ in back] == [1, None, 2] and (np.concatenate([x for _, x in back]) == ids).all()
+    assert [d for d, _, _ in back] == [1, None, 2] and (np.concatenate([x for _, _, x in back]) == ids).all()
+    some = list(rans.from_bytes(raw, {}, 5, 12_001))
+    assert [(d, at) for d, at, _ in some] == [(None, 12_000), (2, 12_000)] and (some[1][2] == ids[12_000:]).all()
+    head, begin = rans.header(raw)
+    read = []
+
+    def block(at, size):
+        read.append(at)
+        return raw[begin + at : begin + at + size]
+
+    assert (rans.ids_between(block, head, coder, 9000, 9010) == ids[9000:9010]).all() and len(read) == 1
+    assert (rans.ids_between(block, head, coder, 4090, 17_000) == ids[4090:17_000]).all() and len(rans.ids_between(block, head, coder, 7, 7)) == 0
     broken = bytearray(body)
     broken[:256] = bytes(256)
     with pytest.raises(ValueError, match="checksum"):
