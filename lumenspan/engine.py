@@ -141,13 +141,17 @@ class Engine:
         made = graph.graph(states)
         return {"edges": made, "nodes": graph.criticality(made), "cycles": graph.cycles(made), "cut_vertices": graph.cut_vertices(made)}
 
+    def parsed_logs(self) -> DataFrame:
+        """Logs with their templates: as they are stored, else found now, once for all that is asked of the result."""
+        rows = self.table("logs")
+        return rows if "template_text" in rows.columns else staged(logs.with_templates(rows), "parsed")
+
     def log_templates(self, since: str = "1h", limit: int = 0) -> DataFrame:
-        parsed = self.table("logs") if "template_text" in self.table("logs").columns else logs.with_templates(self.table("logs"))
+        parsed = self.parsed_logs()
         return logs.template_counts(parsed, logs.dictionary(parsed), self._since(since), language._ns(self.now), limit)
 
     def log_instances(self, template_id: int, since: str = "24h", limit: int = 0) -> DataFrame:
-        parsed = self.table("logs") if "template_text" in self.table("logs").columns else logs.with_templates(self.table("logs"))
-        return logs.instances(parsed, template_id, self._since(since), language._ns(self.now), limit)
+        return logs.instances(self.parsed_logs(), template_id, self._since(since), language._ns(self.now), limit)
 
     def health(self) -> DataFrame:
         """Statistics of the tables that are there."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import eq
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,26 +21,50 @@ class Leaf:
     def __init__(self, similarity: float = DEFAULTS["drain_similarity"], most: int = DEFAULTS["drain_clusters_per_leaf"]):
         self.similarity, self.most = similarity, most
         self.clusters: dict[int, list[str]] = {}
+        #: Places of the wildcards and the text of each cluster's template.
+        self.wild: dict[int, list[int]] = {}
+        self.text: dict[int, str] = {}
         self.made = 0
 
+    def _similar(self, i: int, template: list[str], tokens: list[str]) -> int:
+        """Tokens that are equal or stand at a wildcard."""
+        wild = self.wild[i]
+        return sum(map(eq, template, tokens)) + sum(1 for k in wild if tokens[k] != WILD)
+
     def add(self, tokens: list[str]) -> tuple[int, list[str]]:
         """Cluster of a line and its template, widened where they differ. A full leaf gives up the cluster used least recently."""
-        best, score = None, 0.0
+        best, score = None, 0
         for i, template in self.clusters.items():
-            same = sum(t == WILD or t == x for t, x in zip(template, tokens, strict=True)) / len(tokens)
+            same = self._similar(i, template, tokens)
             if same > score:
                 best, score = i, same
-        if best is None or score < self.similarity:
+                if same == len(tokens):  # none can be nearer
+                    break
+        if best is None or score / len(tokens) < self.similarity:
             if len(self.clusters) >= self.most:
-                del self.clusters[next(iter(self.clusters))]
+                old = next(iter(self.clusters))
+                del self.clusters[old], self.wild[old], self.text[old]
             best = self.made
             self.made += 1
-            self.clusters[best] = list(tokens)
+            self._set(best, list(tokens))
         else:
             template = self.clusters.pop(best)
-            self.clusters[best] = [t if t == x else WILD for t, x in zip(template, tokens, strict=True)]
+            if score < len(tokens):
+                self._set(best, [t if t == x else WILD for t, x in zip(template, tokens, strict=True)])
+            else:
+                self.clusters[best] = template
         return best, self.clusters[best]
 
+    def restore(self, made: int, texts: dict[int, str]) -> None:
+        """Go on from the clusters of an earlier leaf, least recently used first."""
+        self.made = made
+        for i, text in texts.items():
+            self._set(i, text.split(" "))
+
+    def _set(self, i: int, template: list[str]) -> None:
+        self.clusters[i], self.text[i] = template, " ".join(template)
+        self.wild[i] = [k for k, t in enumerate(template) if t == WILD]
+
 
 def tokens_of(body: Column) -> Column:
     """Tokens between white space; an empty line is one empty token."""
@@ -74,10 +100,10 @@ def with_templates(logs: DataFrame, depth: int = DEFAULTS["drain_depth"], simila
             for path, tokens in zip(b.column("__path").to_pylist(), b.column("__tokens").to_pylist(), strict=True):
                 if path != at:
                     leaf, at = Leaf(similarity), path
-                i, template = leaf.add(tokens)
+                i, _ = leaf.add(tokens)
                 ids.append(i)
-                texts.append(" ".join(template))
-                params.append([x for t, x in zip(template, tokens, strict=True) if t == WILD])
+                texts.append(leaf.text[i])
+                params.append([tokens[k] for k in leaf.wild[i]])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(params, pa.list_(pa.string())), b.column("__path")], [*names, "template_id", "template_text", "params", "leaf"])
 
     order = [c for c in ("ts_ns", "trace_id", "span_id", "body") if c in names]

@@ -13,7 +13,7 @@ from .plans import logical
 from .sources import fixtures, otlp
 from .sources.fixtures import LOGS_SQL, SPANS_SQL, TREES_SQL
 from .streaming import assemble
-from .work import new_folder
+from .work import new_folder, staged
 
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 NOW_NS = 1_706_659_200_000_000_000
@@ -246,13 +246,13 @@ def spans_per_service(spark, sf_dir):
 
 @query(f"WITH {LOGS_SQL} SELECT 'event ' || event_type || ' by user <*> value <*> key <*>' AS template_text, count(*) AS occurrences, min(ts_ns) AS first_seen, max(ts_ns) AS last_seen FROM logs GROUP BY event_type")
 def log_templates(spark, sf_dir):
-    parsed = logs.with_templates(fixtures.logs(spark, sf_dir))
+    parsed = staged(logs.with_templates(fixtures.logs(spark, sf_dir)).select("ts_ns", "template_id", "template_text"), "parsed")
     return logs.template_counts(parsed, logs.dictionary(parsed), 0, NOW_NS).drop("template_id")
 
 
 @query(f"WITH {LOGS_SQL} SELECT ts_ns, span_id, body FROM logs WHERE event_type = 'click' ORDER BY ts_ns DESC, span_id LIMIT 100")
 def log_instances(spark, sf_dir):
-    parsed = logs.with_templates(fixtures.logs(spark, sf_dir))
+    parsed = staged(logs.with_templates(fixtures.logs(spark, sf_dir)).drop("params"), "parsed")
     words = F.col("template_text").startswith("event click by")
     picked = logs.dictionary(parsed).where(words).select("template_id")
     found = parsed.join(picked, "template_id", "left_semi")

@@ -24,17 +24,17 @@ def templates(lines: DataFrame, depth: int = DEFAULTS["drain_depth"], similarity
         leaf = Leaf(similarity)
         if state.exists:
             made, ids, texts = state.get
-            leaf.made, leaf.clusters = made, {i: t.split(" ") for i, t in zip(ids, texts, strict=True)}
-        known = {i: " ".join(t) for i, t in leaf.clusters.items()}
+            leaf.restore(made, dict(zip(ids, texts, strict=True)))
+        known = dict(leaf.text)
         out = []
         rows = pd.concat(list(batches)).sort_values(["ts_ns", "body"])
         for ts, body in zip(rows.ts_ns, rows.body, strict=True):
             words = body.split() or [""]
-            i, template = leaf.add(words)
-            text = " ".join(template)
-            out.append((key[0], ts, body, i, text, [w for t, w in zip(template, words, strict=True) if t == WILD], known.get(i) != text))
+            i, _ = leaf.add(words)
+            text = leaf.text[i]
+            out.append((key[0], ts, body, i, text, [words[k] for k in leaf.wild[i]], known.get(i) != text))
             known[i] = text
-        state.update((leaf.made, list(leaf.clusters), [" ".join(t) for t in leaf.clusters.values()]))
+        state.update((leaf.made, list(leaf.clusters), [leaf.text[i] for i in leaf.clusters]))
         yield pd.DataFrame(out, columns=["leaf", "ts_ns", "body", "local_id", "template_text", "params", "changed"])
 
     return keyed.groupBy("leaf").applyInPandasWithState(step, OUTPUT, "made long, ids array<long>, texts array<string>", "append", "NoTimeout")
