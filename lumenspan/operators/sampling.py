@@ -103,6 +103,19 @@ def decide(spans: DataFrame, chain: tuple[Policy, ...] = SHIPPED) -> DataFrame:
     return traces.withColumn("verdict", F.coalesce("verdict", drop("none"))).select("trace_id", "verdict.sampled", "verdict.policy", "verdict.weight")
 
 
+def span_bytes(spans: DataFrame) -> Column:
+    """About how many bytes a buffered span takes: its ids (16 and twice 8), its texts, 64 for the numbers, and keys and values of its attributes."""
+    out = F.lit(16 + 8 + 8 + 64).cast("long")
+    for c in ("service_name", "span_name", "span_kind", "status_code", "status_message"):
+        if c in spans.columns:
+            out = out + F.coalesce(F.octet_length(c), F.lit(0))
+    for c in ("resource_attributes", "span_attributes"):
+        if c in spans.columns:
+            entries = F.coalesce(F.map_entries(c), F.array().cast("array<struct<key:string,value:string>>"))
+            out = out + F.aggregate(entries, F.lit(0).cast("long"), lambda a, e: a + F.octet_length(e["key"]) + F.coalesce(F.octet_length(e["value"]), F.lit(0)))
+    return out
+
+
 def cutoffs(spans: DataFrame, max_traces: int = DEFAULTS["max_traces"], wait_ms: int = DEFAULTS["decision_wait_ms"], replicas: int = DEFAULTS["kafka_partitions"]) -> DataFrame:
     """trace_id, start_ns, decided_ns and forced: when a buffer of at most ``max_traces`` traces in each replica decides each trace.
 

@@ -335,6 +335,13 @@ def sampling_chain(spark, sf_dir):
     return sampling.decide(one, chain).select("trace_id", "policy", "sampled", "weight")
 
 
+@query(f"WITH {SPANS_SQL} SELECT trace_id, CAST(sum(96 + 44 + 2 * strlen(span_name) + strlen(service_name) + strlen('server') + strlen(status_code) + strlen(user_id) + coalesce(strlen(k), 0)) AS BIGINT) AS held_bytes FROM spans GROUP BY ALL")
+def sampling_held_bytes(spark, sf_dir):
+    """What each trace takes in a buffer."""
+    spans = fixtures.spans(spark, sf_dir)
+    return spans.groupBy("trace_id").agg(F.sum(sampling.span_bytes(spans)).alias("held_bytes"))
+
+
 @query(f"""WITH {SPANS_SQL}, f AS (SELECT trace_id, min(ts_ns) AS start_ns FROM spans GROUP BY ALL),
 n AS (SELECT *, lead(start_ns, 5) OVER (PARTITION BY CAST('0x' || substr(md5(trace_id), 1, 8) AS BIGINT) % 4 ORDER BY start_ns, trace_id) AS following FROM f)
 SELECT trace_id, start_ns, least(coalesce(following, start_ns + 3600000000000), start_ns + 3600000000000) AS decided_ns, coalesce(following < start_ns + 3600000000000, false) AS forced FROM n""")
