@@ -28,7 +28,7 @@ from .base import bounded_batches, cleared, fresh, mixed, release_shuffles, remo
 from .components import Forest, components, spanning
 
 #: Keys of parts that a task of step 2 takes, bytes of sets in a slice of a block, and documents in a tree's leaf.
-MEET, SLICE_BYTES, LEAF = 1_500_000, 256 << 10, 8
+MEET, SLICE_BYTES, LEAF = 1_500_000, 2 << 20, 8
 #: Sets with one part from which it is split, keys that a task holds before it looks for such parts, and pivots of a block.
 HOT, HELD, PIVOTS = 20_000, 4_000_000, 8
 #: Most elements in which two sets differ in the block in which they meet, and re-cuts of a block with too many empty parts.
@@ -136,14 +136,13 @@ def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.n
             key = mixed(value * _C1 + (place << np.uint64(12)) + np.uint64(level + 256 * salt))
             again = parts - full.sum(1) > spare
             given = full if salt + 1 < SALTS else full | again[:, None]
-            wide = np.ones(parts, np.int64)
-            out.append((key.ravel(), np.repeat(tag[todo], parts), np.full(key.size, differ), ((number + np.arange(len(todo)))[:, None] * wide).ravel(), given.ravel()))
+            out.append((key.ravel(), np.repeat(tag[todo], parts), np.full(key.size, differ, np.uint8), np.repeat(np.arange(number, number + len(todo), dtype=np.int32), parts), given.ravel()))
             number += len(todo)
             todo = todo[again]
             if not len(todo):
                 break
     if not out:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2 + (np.zeros(0, bool),)
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, bool))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -167,7 +166,7 @@ def _split(key, tag, differ, number, given, hot):
         j = j[j != i]
         out.append((mixed(key[i] + key[j]), tag[j], differ[j]))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
     key, tag, differ = (np.concatenate(c) for c in zip(*out, strict=True))
     key, at = np.unique(key, return_index=True)
     return key, tag[at], differ[at]
@@ -220,7 +219,7 @@ def _emitting(n: int, percent: int, buckets: int, unlike: frozenset[int], split:
                 if len(key):
                     held.append((key, tag, differ, h))
                     size += len(key)
-                if size >= 1_000_000:
+                if size >= 500_000:
                     yield from flush()
                     held, size = [], 0
         if held:
