@@ -28,7 +28,7 @@ from .base import bounded_batches, cleared, fresh, mixed, release_shuffles, remo
 from .components import Forest, components, spanning
 
 #: Keys of parts that a task of step 2 takes, bytes of sets in a slice of a block, and documents in a tree's leaf.
-MEET, SLICE_BYTES, LEAF = 1_500_000, 2 << 20, 8
+MEET, SLICE_BYTES, LEAF = 1_500_000, 8 << 20, 8
 #: Sets with one part from which it is split, keys that a task holds before it looks for such parts, and pivots of a block.
 HOT, HELD, PIVOTS = 20_000, 4_000_000, 8
 #: Most elements in which two sets differ in the block in which they meet, and re-cuts of a block with too many empty parts.
@@ -124,7 +124,9 @@ def part_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.n
             if salt:
                 if block is None:
                     block = part // parts
-                mine = np.isin(block, todo)
+                cut = np.zeros(blocks, bool)
+                cut[todo] = True
+                mine = cut[block]
                 part = block[mine] * parts + ((mixed(s[mine] + _SALT[salt]) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 part = part[order]
@@ -542,28 +544,31 @@ def _grouped(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFram
         schema = ", ".join([*(f"{c} {kinds_[c]}" for c in names), "elements binary"])
         return texts_of(docs, rows).select("text", *names).mapInArrow(sets, schema)
 
-    dealt = with_sets(sliced.select("set_id", "block", "slice", F.when(F.array_contains("pivots", F.col("set_id")), F.col("slices")).otherwise(1).cast("int").alias("copies"), "rep_doc", "rep_tid"))
-    dealt = dealt.withColumn("slice", F.explode(F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array("slice")))).select("block", "slice", "set_id", "elements")
+    # the sets are kept, so that the texts are dealt once
+    copies = F.when(F.array_contains("pivots", F.col("set_id")), F.col("slices")).otherwise(1).cast("int").alias("copies")
+    kept = staged(with_sets(sliced.select("set_id", "block", F.col("slices").cast("int").alias("slices"), "slice", copies, "rep_doc", "rep_tid")), "sets")
+    dealt = kept.withColumn("slice", F.explode(F.when(F.col("copies") > 1, F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array("slice")))).select("block", "slice", "set_id", "elements")
     links = staged(dealt.groupBy("block", "slice").applyInArrow(_verifying(percent), "u long, v long"), "verified")
     linked = components(links)
     release_shuffles(spark)
     if not wide.isEmpty():
         # what isn't in the largest component of its block meets all slices
         rooted = sliced.where("slices > 1").join(linked, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
-        rooted = staged(rooted.select("set_id", "block", "slices", "slice", "rep_doc", "rep_tid", "bytes", "root"), "rooted")
+        rooted = staged(rooted.select("set_id", "block", "slices", "slice", "bytes", "root"), "rooted")
         largest = rooted.groupBy("block", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max(F.struct("c", "root"))["root"].alias("largest"))
         largest = staged(largest, "largest")
         apart = rooted.join(largest, "block").where("root <> largest")
         chunks = staged(apart.groupBy("block").agg(F.ceil(F.sum("bytes") / SLICE_BYTES).cast("int").alias("chunks")), "chunks")
         if not chunks.isEmpty():
             every = F.sequence(F.lit(0), F.col("chunks") - 1)
-            one = apart.join(chunks, "block").select("set_id", "block", F.sequence(F.lit(0), F.col("slices").cast("int") - 1).alias("at"), F.array(F.pmod(F.xxhash64("set_id", F.lit(7)), "chunks").cast("int")).alias("chunk"), "root", F.lit(True).alias("extra"), "rep_doc", "rep_tid")
-            two = rooted.join(chunks, "block").select("set_id", "block", F.array("slice").alias("at"), every.alias("chunk"), "root", F.lit(False).alias("extra"), "rep_doc", "rep_tid")
-            dealt = with_sets(one.unionByName(two)).withColumn("at", F.explode("at")).withColumn("chunk", F.explode("chunk"))
+            one = apart.join(chunks, "block").select("set_id", F.sequence(F.lit(0), F.col("slices").cast("int") - 1).alias("at"), F.array(F.pmod(F.xxhash64("set_id", F.lit(7)), "chunks").cast("int")).alias("chunk"), "root", F.lit(True).alias("extra"))
+            two = rooted.join(chunks, "block").select("set_id", F.array("slice").alias("at"), every.alias("chunk"), "root", F.lit(False).alias("extra"))
+            dealt = kept.where("slices > 1").select("set_id", "block", "elements").join(one.unionByName(two).hint("merge"), "set_id")
+            dealt = dealt.withColumn("at", F.explode("at")).withColumn("chunk", F.explode("chunk"))
             more = dealt.groupBy("block", "at", "chunk").applyInArrow(_verifying(percent), "u long, v long")
             linked = components(links.unionByName(more))
             release_shuffles(spark)
-    remove(spark, own.staged_at)
+    remove(spark, own.staged_at, kept.staged_at)
     return classes, linked
 
 
