@@ -13,7 +13,7 @@ from .plans import logical
 from .sources import fixtures, otlp
 from .sources.fixtures import LOGS_SQL, SPANS_SQL, TREES_SQL
 from .streaming import assemble
-from .work import new_folder, staged
+from .work import free_shuffles, new_folder, staged
 
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 NOW_NS = 1_706_659_200_000_000_000
@@ -519,11 +519,20 @@ def stream_assemble(spark, sf_dir):
     path = new_folder(spark, "stream")
     forced = F.when(F.col("span_name") == "line-6", "true").otherwise("false")
     event = F.struct("ts_ns", F.col("span_name").alias("name"), F.create_map(F.lit("k"), F.col("service_name")).alias("attributes"))
-    spans = fixtures.trees(spark, sf_dir).withColumns({"span_attributes": F.create_map(F.lit("debug.force_sample"), forced), "events": F.array(event)})
+    # spans of a trace come in one file, so a micro-batch of 64 MB has whole traces and the state is never that of all input
+    trees = fixtures.trees(spark, sf_dir).repartition("trace_id").sortWithinPartitions("trace_id")
+    spans = trees.withColumns({"span_attributes": F.create_map(F.lit("debug.force_sample"), forced), "events": F.array(event)})
     spans.write.parquet(f"{path}/in")
-    read = assemble.source(spark, "parquet", spans.schema, path=f"{path}/in", maxFilesPerTrigger=1_000_000)
+    free_shuffles(spark)
+    read = assemble.source(spark, "parquet", spans.schema, path=f"{path}/in", maxBytesPerTrigger=64 << 20)
     out = assemble.assemble(read, tuple(p for p in sampling.SHIPPED if p.kind != "rate_limit"), wait_ms=1000, keep_ms=1000, early=False)
-    q = out.writeStream.foreachBatch(assemble.write_once(f"{path}/out", "spans")).option("checkpointLocation", f"{path}/state").start()
+    write = assemble.write_once(f"{path}/out", "spans")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        free_shuffles(spark)
+
+    q = out.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").start()
     try:
         assemble.until_empty(q)
     finally:

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import rollup
 from ..operators.sampling import SALT, Policy
@@ -72,7 +73,7 @@ def closed(rows: list[tuple]) -> bool:
     return len(rows) > 1 and all(r[0] >= a and r[0] + r[5] <= z and (r[2] in ids or r is roots[0]) for r in rows)
 
 
-def assemble(spans: DataFrame, chain: tuple[Policy, ...] | PolicyFile, wait_ms: int = DEFAULTS["decision_wait_ms"], keep_ms: int = DEFAULTS["decided_ttl_ms"], early: bool = True, buckets: int = 4096) -> DataFrame:
+def assemble(spans: DataFrame, chain: tuple[Policy, ...] | PolicyFile, wait_ms: int = DEFAULTS["decision_wait_ms"], keep_ms: int = DEFAULTS["decided_ttl_ms"], early: bool = True, buckets: int = 1024) -> DataFrame:
     """Whole spans of sampled traces, with all their columns, ``sampling_weight`` and ``late``, as soon as each trace is decided.
 
     A trace is held from its first span for ``wait_ms`` of processing time, or until its root closes it. Then the chain decides once. Spans that come
@@ -105,7 +106,7 @@ def assemble(spans: DataFrame, chain: tuple[Policy, ...] | PolicyFile, wait_ms:
     keyed = spans.select(
         F.pmod(F.xxhash64("trace_id"), F.lit(buckets)).alias("bucket"), "trace_id", "span_id", (F.coalesce("parent_span_id", F.lit("")) if early else F.lit("")).alias("parent_span_id"),
         F.coalesce("ts_ns", F.lit(NEVER)).alias("start_ns"), F.coalesce(end, F.lit(-NEVER)).alias("end_ns"), F.concat(*(m.cast("int").cast("string") for m in met)).alias("flags"),
-        F.to_json(F.struct(*kinds.names), JSON).alias("span"),
+        F.to_json(F.struct(*kinds.names).cast(_as(kinds, numbered=True)), JSON).alias("span"),
     )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -154,7 +155,16 @@ def assemble(spans: DataFrame, chain: tuple[Policy, ...] | PolicyFile, wait_ms:
         yield from (x for x in out if len(x))
 
     out = keyed.groupBy("bucket").applyInPandasWithState(step, OUTPUT, STATE, "append", "ProcessingTimeTimeout")
-    return out.select(F.from_json("span", kinds, JSON).alias("span"), "sampling_weight", "late").select("span.*", "sampling_weight", "late")
+    return out.select(F.from_json("span", _as(kinds, numbered=True), JSON).cast(_as(kinds)).alias("span"), "sampling_weight", "late").select("span.*", "sampling_weight", "late")
+
+
+def _as(kind: T.DataType, numbered: bool = False) -> T.DataType:
+    """The same type where all may be null; numbered: fields are called by their places, which takes less room in JSON."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(str(i) if numbered else f.name, _as(f.dataType, numbered)) for i, f in enumerate(kind)])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as(kind.elementType, numbered))
+    return T.MapType(_as(kind.keyType, numbered), _as(kind.valueType, numbered)) if isinstance(kind, T.MapType) else kind
 
 
 def _close(rows: pd.DataFrame, began: int, codes: np.ndarray, order: np.ndarray, first: np.ndarray, ready: np.ndarray) -> None:
@@ -175,12 +185,14 @@ def _share(trace_id: str | None) -> float:
 
 
 def until_empty(q) -> None:
-    """Wait until each trace's decision has expired, for a stream whose first micro-batch reads all input. (processAllAvailable doesn't return while timers run.)"""
+    """Wait until all input is read and each trace's decision has expired. (processAllAvailable doesn't return while timers run.)"""
     import time
 
     while q.isActive:
-        held = [o["numRowsTotal"] for o in (q.lastProgress or {"stateOperators": []})["stateOperators"]]
-        if held and not any(held):
+        last = q.lastProgress or {"stateOperators": [], "sources": []}
+        held = [o["numRowsTotal"] for o in last["stateOperators"]]
+        # a micro-batch that moved on in a source may have found no rows there, and more may follow
+        if held and not any(held) and all(x["startOffset"] == x["endOffset"] for x in last["sources"]):
             return
         time.sleep(0.2)
     if q.exception():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the files of shuffles that nothing needs any more removed; else they stay until the driver happens to collect its garbage."""
+    for _ in range(2):  # what just ended may still be held by an event that waits for a listener
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def nanos(df: DataFrame, name: str) -> Column:
     """Nanoseconds since 1970 of a timestamp column, with or without a zone; without one it is read as UTC."""
     if dict(df.dtypes)[name] == "timestamp_ntz":
