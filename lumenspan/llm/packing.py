@@ -99,13 +99,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
 
         for batch in batches:
             doc, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(doc), 500):
-                for d, ids in zip(doc[i : i + 500], pieces.encode(texts[i : i + 500]), strict=True):
-                    held.append((d, ids + end))
-                    size += len(ids) // 2 + 1
-                    if size >= group_tokens:
-                        yield from flush()
-                        size = 0
+            for d, ids in zip(doc, pieces.encode(texts), strict=True):
+                held.append((d, ids + end))
+                size += len(ids) // 2 + 1
+                if size >= group_tokens:
+                    yield from flush()
+                    size = 0
         if held:
             yield from flush()
 

@@ -70,7 +70,7 @@ def _digest(batches):
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rans.tokens_round_trip(documents(spark, sf_dir)).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rans.tokens_round_trip(documents(spark, sf_dir), then=_digest, schema="doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .base import bounded_batches, new_folder, release_shuffles, staged
 from .tokens import pieces as encoder
 
+SCHEMA = "doc_id long, start long, ids binary"
 MAGIC = b"TOKRANS1"
 LANES, BLOCK, CHECK = 2048, 1 << 19, 1 << 18
 BITS, LOW = 20, 31
@@ -202,13 +203,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         # the last rows of a task carry its counts of ids
         pieces, total, last = encoder(path), np.zeros(1 << 16, np.int64), None
         for batch in batches:
-            doc, texts = batch.column(0), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 500):
-                ids = [x + end for x in pieces.encode(texts[i : i + 500])]
-                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16)
-                if last:
-                    yield pa.RecordBatch.from_arrays([*last, pa.nulls(len(last[0]), pa.binary())], ["doc_id", "ids", "h"])
-                last = doc[i : i + 500], pa.array(ids, pa.binary())
+            if not len(batch):
+                continue
+            ids = [x + end for x in pieces.encode(batch.column(1).to_pylist())]
+            for i in range(0, len(ids), 500):
+                total += np.bincount(np.frombuffer(b"".join(ids[i : i + 500]), "<u2"), minlength=1 << 16)
+            if last:
+                yield pa.RecordBatch.from_arrays([*last, pa.nulls(len(last[0]), pa.binary())], ["doc_id", "ids", "h"])
+            last = batch.column(0), pa.array(ids, pa.binary())
         if last:
             counts = [zlib.compress(total.tobytes(), 1)] + [None] * (len(last[0]) - 1)
             yield pa.RecordBatch.from_arrays([*last, pa.array(counts, pa.binary())], ["doc_id", "ids", "h"])
@@ -255,12 +257,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     return staged(tokens.select("doc_id", "ids").mapInArrow(write, "first_doc long, path string, n_docs long, n_tokens long, n_bytes long, crc32 long"), "manifest")
 
 
-def read_tokens(spark: SparkSession, manifest: DataFrame, part_tokens: int = 2_000_000) -> DataFrame:
+def read_tokens(spark: SparkSession, manifest: DataFrame, part_tokens: int = 2_000_000, then: Callable | None = None, schema: str = SCHEMA) -> DataFrame:
     """Documents of the files of a manifest: doc_id, ids (little-endian unsigned 16-bit), start (ids of all documents before it).
 
     A file of more than ``part_tokens`` ids is read by several tasks: each takes the documents that begin in its part, reads the
     header and the blocks that these need, and decodes from the checkpoint before them on. Every stretch is checked against its CRC-32;
-    a file read as a whole also against that of the manifest.
+    a file read as a whole also against that of the manifest. ``then`` takes the batches of documents on to ``schema`` in the process
+    that reads them; a mapInArrow behind this one would start a second process for each task and send it all ids.
     """
     w = Window.orderBy(F.col("first_doc").asc_nulls_first(), "n_docs", "path").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", "crc32", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("base"), F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / part_tokens)).cast("int").alias("parts"))
@@ -296,15 +299,15 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, part_tokens: int = 2_0
                         yield _rows(rows)
 
     n = max(1, spark.sparkContext.defaultParallelism * 4)
-    return files.repartition(n).mapInArrow(read, "doc_id long, start long, ids binary")
+    return files.repartition(n).mapInArrow((lambda batches: then(read(batches))) if then else read, schema)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "ids"])
 
 
-def tokens_round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """Write the token files of ``docs`` into the shared folder and read them back."""
+def tokens_round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, then: Callable | None = None, schema: str = SCHEMA) -> DataFrame:
+    """Write the token files of ``docs`` into the shared folder and read them back; ``then`` and ``schema`` as in ``read_tokens``."""
     spark = docs.sparkSession
     manifest = write_tokens(docs, new_folder(spark, "files"), tokenizer, end_id)
-    return read_tokens(spark, manifest)
+    return read_tokens(spark, manifest, then=then, schema=schema)

@@ -8,9 +8,14 @@ import re
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Characters whose words are numbered at a time; the arrays made of them are about 10 times as large.
+STEP = 2 << 20
+
 _KEPT: dict[str, Pieces] = {}
 
 
@@ -31,13 +36,15 @@ class Pieces:
 
     A pre-tokenizer of either kind here always cuts before a blank or a line feed that stands alone between two other
     characters, and between a letter and a full stop or comma. So the ids of the words, one after the other, are
-    the ids of the text. Words recur: one that has been met before is kept in a memo of at most ``most`` words, and new
+    the ids of the text. The words of many texts are numbered by Arrow, so that each distinct one is looked up once; a line
+    feed is a blank where a tokenizer keeps neither. Words recur: one that has been met before is kept in a memo of at most ``most`` words, and new
     ones are handed to the tokenizer many at a time, told apart by their first tokens (where tokens keep the blank), by
     their last ones (words of letters, where tokens mark a word's end) or by a mark between them. Texts with other white space are cut by a pattern instead. A full
     memo keeps its older half: words that were met first are the frequent ones.
 
     Where a tokenizer only composes, folds white space and lowers, that is done by Python for texts of Latin-1, in
-    which it is the same, and the words go to a copy without these steps.
+    which it is the same, and the words go to a copy without these steps. A text with ``<|`` takes all steps of the tokenizer then, as
+    its control tokens are found before letters are lowered.
     """
 
     CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -59,7 +66,7 @@ class Pieces:
             raise ValueError("ids of more than 16 bits")
         self.memo: dict[str, bytes] = {}
         self.most = most
-        self.keeps_blank = self._ids(["a b"])[0] != self._ids(["a\nb"])[0]
+        self.keeps_blank = self._ids(["a b"])[0] != self._ids(["a\nb"])[0] or self._ids([" a"])[0] != self._ids(["a"])[0]
         self.first, self.last = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.first[i], self.last[i] = token[:1] in "ĠĊ", token.endswith("</w>")
@@ -109,7 +116,7 @@ class Pieces:
         return out
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of words that the memo lacks. A word stands without its blank; one that begins a text has a NUL before it."""
+        """Ids of words that the memo lacks. A word stands without its blank; one that begins a text has a NUL before it where tokens keep the blank."""
         ends, stems, odd, mixed = [], set(), [], []
         for w in new:
             if w[-1] in ".," and w[-2:-1].isalpha():
@@ -119,7 +126,7 @@ class Pieces:
                     continue
             if w[0] == "\0" or "<|" in w:
                 odd.append(w)
-            elif not self.keeps_blank and not w.strip("\n").isalpha():
+            elif not self.keeps_blank and not w.isalpha():
                 mixed.append(w)
             else:
                 stems.add(w)
@@ -144,31 +151,52 @@ class Pieces:
                 met[h >> 3] |= bit
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null has none."""
-        get = self.memo.get
-        # one text after the other, so that its words are looked up while they are at hand; only unknown ones are held
-        found: list[tuple[list, list[tuple[int, str]]] | None] = []
+        """Ids of each text; null has none. About ``STEP`` characters are taken at a time, a longer text by itself."""
+        out: list[bytes] = []
+        some: list[str | None] = []
+        size = 0
         for x in texts:
+            if some and size + len(x or "") > STEP:
+                out += self._encoded(some)
+                some, size = [], 0
+            some.append(x)
+            size += len(x or "")
+        return out + self._encoded(some)
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = [b""] * len(texts)
+        rows, lines, counts = [], [], []
+        for i, x in enumerate(texts):
             if not x:
-                found.append(([], []))
                 continue
-            t = x.replace("\n", " \n")
+            t = x.replace("\n", " \n" if self.keeps_blank else " ")
             # only blanks and line feeds as white space, each alone and between other characters; no control characters
-            if x.replace("\n", "").isprintable() and "  " not in t and "\n " not in t and t[0] != " " and t[-1] not in " \n" and (not self.lowers or latin(x)):
-                words = ("\0" + (t.lower() if self.lowers else t)).split(" ")
-                ids = list(map(get, words))
-                found.append((ids, [(i, words[i]) for i, v in enumerate(ids) if v is None]))
+            if x.replace("\n", "").isprintable() and "  " not in t and "\n " not in t and t[0] != " " and t[-1] not in " \n" and not (self.lowers and ("<|" in x or not latin(x))):
+                rows.append(i)
+                lines.append(("\0" if self.keeps_blank else "") + (t.lower() if self.lowers else t))
+                counts.append(t.count(" ") + 1)
             else:
-                found.append(None)
-        learned = self._learn({w for f in found if f for _, w in f[1]})
-        out = []
-        for f, x in zip(found, texts, strict=True):
-            if f is None:
-                out.append(self._as_is(x))
-                continue
-            for i, w in f[1]:
-                f[0][i] = learned[w]
-            out.append(b"".join(f[0]))
+                out[i] = self._as_is(x)
+        if not rows:
+            return out
+        # the words as numbers of the distinct ones, so that only these are looked up; their ids are then laid side by side
+        numbered = pc.split_pattern(pa.array([" ".join(lines)], pa.large_string()), " ").flatten().dictionary_encode()
+        del lines
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = numbered.indices
+        del numbered
+        known = list(map(self.memo.get, words))
+        at = [i for i, v in enumerate(known) if v is None]
+        learned = self._learn({words[i] for i in at})
+        for i in at:
+            known[i] = learned[words[i]]
+        laid = pa.array(known, pa.large_binary()).take(numbers)
+        del known, words, numbers
+        _, offsets, data = laid.buffers()
+        data = data or pa.py_buffer(b"")
+        ends = np.frombuffer(offsets, np.int64)[np.cumsum([0, *counts])].tolist()
+        for i, a, b in zip(rows, ends[:-1], ends[1:], strict=True):
+            out[i] = data[a:b].to_pybytes()
         self._keep(learned)
         if len(self.memo) > self.most:
             self.memo = dict(islice(self.memo.items(), self.most // 2))

@@ -63,6 +63,35 @@ def test_pieces_equal_whole_texts(name):
     assert p.encode([None]) == [b""]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_look_up_distinct_words(name, monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+    path = public_tokenizers.path(name)
+    p, t = tokens.Pieces(path), Tokenizer.from_file(path)
+    p.memo = Counted()
+    texts = ["Red fox\nred wolf, été", None, "wolf", ""] * 500
+    want = [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u2").tobytes() for x in texts[:4]] * 500
+    assert p.encode(texts) == want and p.memo.asked < 20
+    assert p.encode(texts) == want and p.memo.asked < 40
+    assert ("\nred" in p.memo) == p.keeps_blank
+    monkeypatch.setattr(tokens, "STEP", 30)
+    assert p.encode(texts) == want
+
+
+def test_pieces_control_tokens_in_capitals():
+    """A control token in capitals is text, also where the tokenizer lowers letters."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    p, t = tokens.Pieces(path), Tokenizer.from_file(path)
+    for x in ["a <|ENDOFTEXT|> b", "x<|StartOfText|>y", "A <|endoftext|> B"]:
+        assert np.frombuffer(p.encode([x])[0], "<u2").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_packing(docs, none):
     want = encoded("byte_bpe_50k.json", 1)
     rows = packing.pack_documents(docs, group_tokens=5000).collect()
