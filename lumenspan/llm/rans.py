@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -189,7 +190,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     """Tokenize ``doc_id, text`` and write token files into ``folder``; the result has a row for each file.
 
     Texts are dealt by ranges of doc_id and tokenized in that order, then the table is counted over all ids, then files
-    of about ``file_tokens`` ids are written, so that a file holds a range of doc_id. A file is written under another
+    of at most about ``file_tokens`` ids are written, each of neighbouring rows of one range, so that a file holds a range of doc_id
+    without a gap. ``first_row`` orders the files. A file is written under another
     name and then moved, so that a task that runs twice leaves one whole file. Null text counts as empty and gives the
     end id alone; null doc_ids come first; repeated doc_ids stay in the order of text; other columns are ignored;
     an empty table gives no file.
@@ -200,8 +202,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     end = np.array([end_id], "<u2").tobytes()
 
     def tokenize(batches):
-        # the last rows of a task carry its counts of ids
+        # the last rows of a task carry its counts of ids; rows are numbered in the order of all ranges
         pieces, total, last = encoder(path), np.zeros(1 << 16, np.int64), None
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             if not len(batch):
                 continue
@@ -209,16 +212,17 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             for i in range(0, len(ids), 500):
                 total += np.bincount(np.frombuffer(b"".join(ids[i : i + 500]), "<u2"), minlength=1 << 16)
             if last:
-                yield pa.RecordBatch.from_arrays([*last, pa.nulls(len(last[0]), pa.binary())], ["doc_id", "ids", "h"])
-            last = batch.column(0), pa.array(ids, pa.binary())
+                yield pa.RecordBatch.from_arrays([*last, pa.nulls(len(last[0]), pa.binary())], ["row", "doc_id", "ids", "h"])
+            last = pa.array(range(row, row + len(ids)), pa.int64()), batch.column(0), pa.array(ids, pa.binary())
+            row += len(ids)
         if last:
             counts = [zlib.compress(total.tobytes(), 1)] + [None] * (len(last[0]) - 1)
-            yield pa.RecordBatch.from_arrays([*last, pa.array(counts, pa.binary())], ["doc_id", "ids", "h"])
+            yield pa.RecordBatch.from_arrays([*last, pa.array(counts, pa.binary())], ["row", "doc_id", "ids", "h"])
 
     texts = docs.select("doc_id", "text")
     ranges = max(2, 2 * texts.rdd.getNumPartitions())
     ordered = texts.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    tokens = staged(ordered.mapInArrow(tokenize, "doc_id long, ids binary, h binary"), "tokens")
+    tokens = staged(ordered.mapInArrow(tokenize, "row long, doc_id long, ids binary, h binary"), "tokens")
     del ordered
     release_shuffles(spark)
     freq = frequency_table(tokens.where("h IS NOT NULL").select("h"))
@@ -228,7 +232,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         coder = Coder(freq)
         held: list[bytes] = []
         docs_held: list[tuple[int | None, int]] = []
-        size = 0
+        size, first, following = 0, 0, 0
 
         def flush():
             store, where = _opened(folder)
@@ -238,23 +242,27 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             with store.open_output_stream(f"{name}.tmp") as f:
                 f.write(raw)
             store.move(f"{name}.tmp", f"{name}.rans")
-            row = [[docs_held[0][0]], [f"{folder}/{name.rpartition('/')[2]}.rans"], [len(docs_held)], [size], [len(raw)], [zlib.crc32(raw)]]
+            row = [[first], [docs_held[0][0]], [f"{folder}/{name.rpartition('/')[2]}.rans"], [len(docs_held)], [size], [len(raw)], [zlib.crc32(raw)]]
             held.clear()
             docs_held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["first_doc", "path", "n_docs", "n_tokens", "n_bytes", "crc32"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["first_row", "first_doc", "path", "n_docs", "n_tokens", "n_bytes", "crc32"])
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if docs_held and (size >= file_tokens or (doc is not None and docs_held[-1][0] is not None and doc < docs_held[-1][0]) or (doc is None and docs_held[-1][0] is not None)):
+            for row, doc, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # a task can get parts of several ranges, in any order and with others between them
+                if docs_held and (size >= file_tokens or row != following):
                     yield flush()
                     size = 0
+                if not docs_held:
+                    first = row
+                following = row + 1
                 held.append(ids)
                 docs_held.append((doc, len(ids) // 2))
                 size += len(ids) // 2
         if docs_held:
             yield flush()
 
-    return staged(tokens.select("doc_id", "ids").mapInArrow(write, "first_doc long, path string, n_docs long, n_tokens long, n_bytes long, crc32 long"), "manifest")
+    return staged(tokens.select("row", "doc_id", "ids").mapInArrow(write, "first_row long, first_doc long, path string, n_docs long, n_tokens long, n_bytes long, crc32 long"), "manifest")
 
 
 def read_tokens(spark: SparkSession, manifest: DataFrame, part_tokens: int = 2_000_000, then: Callable | None = None, schema: str = SCHEMA) -> DataFrame:
@@ -265,7 +273,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, part_tokens: int = 2_0
     a file read as a whole also against that of the manifest. ``then`` takes the batches of documents on to ``schema`` in the process
     that reads them; a mapInArrow behind this one would start a second process for each task and send it all ids.
     """
-    w = Window.orderBy(F.col("first_doc").asc_nulls_first(), "n_docs", "path").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.orderBy("first_row").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", "crc32", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("base"), F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / part_tokens)).cast("int").alias("parts"))
     files = files.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 

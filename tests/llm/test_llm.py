@@ -142,6 +142,25 @@ def test_token_files(spark, docs, none):
     assert [r.doc_id for r in got] == [None, 5, 5]
 
 
+def test_token_files_hold_ranges_without_gaps(spark):
+    """Small ranges of doc_id meet in one writing task, by size; a file must not go on behind a gap."""
+    sizes = RNG.integers(1, 400, 320).tolist()
+    texts = [" ".join(RNG.choice(["alpha", "beta", "delta"], n)) for n in sizes]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    counts = [len(t.encode(x, add_special_tokens=False).ids) + 1 for x in texts]
+    many = table(spark, texts).repartition(8)
+    manifest = rans.write_tokens(many, base.new_folder(spark, "ranges"), file_tokens=1500).cache()
+    got = sorted(rans.read_tokens(spark, manifest).collect(), key=lambda r: r.doc_id)
+    assert [(r.doc_id, r.start, len(r.ids) // 2) for r in got] == [(d, sum(counts[:d]), n) for d, n in enumerate(counts)]
+    files = sorted(manifest.collect(), key=lambda r: r.first_doc)
+    assert [r.first_doc + r.n_docs for r in files] == [*(r.first_doc for r in files[1:]), len(texts)]
+    again = table(spark, [f"w{i} alpha" for i in range(300)], ids=[7] * 300).repartition(4)
+    got = rans.read_tokens(spark, rans.write_tokens(again, base.new_folder(spark, "again"), file_tokens=100).cache()).collect()
+    order = [t.decode(np.frombuffer(r.ids, "<u2").tolist()[:-1]) for r in sorted(got, key=lambda r: r.start)]
+    want = [t.decode(t.encode(x).ids) for x in sorted(f"w{i} alpha" for i in range(300))]
+    assert order == want
+
+
 def test_rans_blocks(monkeypatch):
     monkeypatch.setattr(rans, "BLOCK", 1 << 13)
     monkeypatch.setattr(rans, "CHECK", 1 << 12)
